@@ -298,9 +298,9 @@ def h8(spark, d):
     return grown.groupBy("source", "iteration").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("h9_pseudo_label_log", f"SELECT * FROM ({POOL}) WHERE source = 'model' AND iteration <= 2")
+@query("h9_pseudo_label_log", f"SELECT * FROM ({POOL}) WHERE source = 'model'")
 def h9(spark, d):
-    return triage.pseudo_label_log(_pool(spark, d), upto=2)
+    return triage.pseudo_label_log(_pool(spark, d))
 
 
 H5_ROWS = f"""

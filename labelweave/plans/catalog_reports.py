@@ -69,7 +69,7 @@ def i4(spark, d):
 
 PAIRS = """
     WITH cells AS (SELECT lang, source, count(*)::DECIMAL(18,0) AS n FROM documents GROUP BY ALL),
-         s AS (SELECT (SELECT sum(n * n) FROM cells) AS both,
+         s AS (SELECT (SELECT sum(n * n) FROM cells) AS same,
                       (SELECT sum(n * n) FROM (SELECT sum(n)::DECIMAL(18,0) AS n FROM cells GROUP BY lang)) AS a,
                       (SELECT sum(n * n) FROM (SELECT sum(n)::DECIMAL(18,0) AS n FROM cells GROUP BY source)) AS b,
                       (SELECT sum(n) FROM cells) AS n)
@@ -78,7 +78,7 @@ PAIRS = """
 
 @query(
     "i5_rand_index",
-    PAIRS + "SELECT round(((n * n - a - b + both) + (both - n))::DOUBLE / (n * n - n)::DOUBLE, 6) AS rand_index FROM s",
+    PAIRS + "SELECT round(((n * n - a - b + same) + (same - n))::DOUBLE / (n * n - n)::DOUBLE, 6) AS rand_index FROM s",
 )
 def i5(spark, d):
     found = scoring.rand_index(table(spark, d, "documents"), "lang", "source")
@@ -89,8 +89,8 @@ def i5(spark, d):
     "i6_pair_confusion",
     PAIRS
     + """
-    SELECT CAST(n * n - a - b + both AS BIGINT) AS apart_apart, CAST(b - both AS BIGINT) AS apart_together,
-           CAST(a - both AS BIGINT) AS together_apart, CAST(both - n AS BIGINT) AS together_together FROM s
+    SELECT CAST(n * n - a - b + same AS BIGINT) AS apart_apart, CAST(b - same AS BIGINT) AS apart_together,
+           CAST(a - same AS BIGINT) AS together_apart, CAST(same - n AS BIGINT) AS together_together FROM s
     """,
 )
 def i6(spark, d):
@@ -151,7 +151,7 @@ def i8(spark, d):
     "i9_run_totals",
     """
     SELECT event_type AS method,
-           count(*) FILTER (value > 50 AND user_id % 2 = 0) AS n_fp, 0::BIGINT AS n_fn,
+           count(*) FILTER (value > 50 AND user_id <= 40) AS n_fp, 0::BIGINT AS n_fn,
            count(*) FILTER (value > 50) AS n_high_confidence, count(*) FILTER (value <= 50) - 10 AS n_low_confidence
     FROM events GROUP BY event_type
     """,
@@ -159,7 +159,7 @@ def i8(spark, d):
 def i9(spark, d):
     rows = table(spark, d, "events").select(
         F.col("event_type").alias("method"),
-        (F.col("user_id") % 2).cast("int").alias("Label"),
+        (F.col("user_id") > 40).cast("int").alias("Label"),
         F.lit(1).alias("new_label"),
         F.when(F.col("value") > 50, "model").otherwise("oracle").alias("source"),
     )
@@ -279,8 +279,8 @@ def i17(spark, d):
     "i18_label_error_counts",
     """
     WITH t AS (SELECT CASE event_type WHEN 'error' THEN 'PL_RF' ELSE event_type END AS ML_method,
-                      count(*) FILTER (value > 50 AND user_id % 2 = 0) AS n_fp,
-                      count(*) FILTER (value <= 50 AND user_id % 2 = 1) AS n_fn FROM events GROUP BY 1)
+                      count(*) FILTER (value > 50 AND user_id <= 40) AS n_fp,
+                      count(*) FILTER (value <= 50 AND user_id > 40) AS n_fn FROM events GROUP BY 1)
     SELECT ML_method, 'n_fp' AS error, n_fp AS n FROM t WHERE ML_method <> 'PL_RF'
     UNION ALL SELECT ML_method, 'n_fn', n_fn FROM t WHERE ML_method <> 'PL_RF'
     """,
@@ -288,7 +288,7 @@ def i17(spark, d):
 def i18(spark, d):
     rows = table(spark, d, "events").select(
         F.when(F.col("event_type") == "error", "PL_RF").otherwise(F.col("event_type")).alias("ML_method"),
-        (F.col("user_id") % 2).cast("int").alias("Label"),
+        (F.col("user_id") > 40).cast("int").alias("Label"),
         (F.col("value") > 50).cast("int").alias("new_label"),
         F.lit("model").alias("source"),
     )
