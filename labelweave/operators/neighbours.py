@@ -26,15 +26,17 @@ TIE_DIGITS = 9
 CHUNK_CELLS = 2_000_000
 QUERY_ROWS = 4096
 
-NEIGHBOUR = "struct<dist:double,row_id:bigint,weight:bigint,label:int>"
+# ``tie`` is the rounded distance that orders the neighbours.
+NEIGHBOUR = "struct<tie:double,row_id:bigint,dist:double,weight:bigint,label:int>"
 
 
 def top_k(queries: np.ndarray, pool: np.ndarray, k: int, p: int):
-    """(query index, pool index, distance) of the k nearest; pool sorted by id."""
+    """(query index, pool index, distance, rounded distance) of the k nearest; pool sorted by id."""
     parts = []
     step = max(1, CHUNK_CELLS // max(1, len(pool)))
     for start in range(0, len(queries), step):
-        d = np.round(distances(queries[start : start + step], pool, p), TIE_DIGITS)
+        exact = distances(queries[start : start + step], pool, p)
+        d = np.round(exact, TIE_DIGITS)
         if k < len(pool):
             reach = np.partition(d, k - 1, axis=1)[:, k - 1]
             row, col = np.nonzero(d <= reach[:, None])
@@ -45,10 +47,10 @@ def top_k(queries: np.ndarray, pool: np.ndarray, k: int, p: int):
         place = np.arange(len(row)) - np.searchsorted(row, row)
         kept = place < k
         row, col = row[kept], col[kept]
-        parts.append((row + start, col, d[row, col]))
+        parts.append((row + start, col, exact[row, col], d[row, col]))
     if not parts:
         empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, np.zeros(0)
+        return empty, empty, np.zeros(0), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -73,15 +75,16 @@ def _nearest_broadcast(queries: DataFrame, pool: DataFrame, k: int, p: int) -> D
         vectors, ids, weights, labels = held.value
         for batch in batches:
             own = matrix(batch.column(batch.schema.get_field_index("features")))
-            row, col, dist = top_k(own, vectors, k, p) if len(vectors) else top_k(own[:0], own, k, p)
+            row, col, dist, tie = top_k(own, vectors, k, p) if len(vectors) else top_k(own[:0], own, k, p)
             found = pa.StructArray.from_arrays(
                 [
-                    pa.array(dist, pa.float64()),
+                    pa.array(tie, pa.float64()),
                     pa.array(ids[col], pa.int64()),
+                    pa.array(dist, pa.float64()),
                     pa.array(weights[col], pa.int64()),
                     pa.array(labels[col], pa.int32(), from_pandas=True, safe=False),
                 ],
-                names=["dist", "row_id", "weight", "label"],
+                names=["tie", "row_id", "dist", "weight", "label"],
             )
             offsets = np.searchsorted(row, np.arange(len(own) + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), found)
@@ -101,30 +104,31 @@ def _search_blocks(visits: DataFrame, blocks: DataFrame, k: int, p: int) -> Data
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("row_id")
         if not len(left) or not len(right):
-            row, col, dist = top_k(np.zeros((0, 1)), np.zeros((0, 1)), k, p)
+            row, col, dist, tie = top_k(np.zeros((0, 1)), np.zeros((0, 1)), k, p)
         else:
-            row, col, dist = top_k(stack(left["features"]), stack(right["features"]), k, p)
+            row, col, dist, tie = top_k(stack(left["features"]), stack(right["features"]), k, p)
         near = right.iloc[col]
         return pd.DataFrame(
             {
                 "query_id": left["row_id"].to_numpy()[row],
-                "dist": dist,
+                "tie": tie,
                 "row_id": near["row_id"].to_numpy(),
+                "dist": dist,
                 "weight": near["weight"].to_numpy(),
                 "label": near["label"].to_numpy(),
             }
         )
 
-    schema = "query_id bigint, dist double, row_id bigint, weight bigint, label int"
+    schema = "query_id bigint, tie double, row_id bigint, dist double, weight bigint, label int"
     left = asked.select("block", "part", "row_id", "features").groupBy("block", "part")
     right = held.select("block", "part", "row_id", "features", "weight", "label").groupBy("block", "part")
     found = left.cogroup(right).applyInPandas(search, schema)
-    best = Window.partitionBy("query_id").orderBy("dist", "row_id")
+    best = Window.partitionBy("query_id").orderBy("tie", "row_id")
     return (
         found.withColumn("_place", F.row_number().over(best))
         .filter(F.col("_place") <= k)
         .groupBy(F.col("query_id").alias("row_id"))
-        .agg(F.array_sort(F.collect_list(F.struct("dist", F.col("row_id").alias("row_id"), "weight", "label"))).alias("neighbours"))
+        .agg(F.array_sort(F.collect_list(F.struct("tie", F.col("row_id").alias("row_id"), "dist", "weight", "label"))).alias("neighbours"))
     )
 
 
@@ -138,7 +142,7 @@ def _nearest_blocks(queries: DataFrame, pool: DataFrame, k: int, p: int, rows: i
     index = build_index(pool, p, rows or search_rows(pool.count()))
     blocks = materialise(index.own_block(pool), "blocks")
     near = _search_blocks(index.own_block(asked), blocks, k, p)
-    reach = F.when(F.size("neighbours") >= k, F.element_at("neighbours", -1)["dist"] + 10.0**-TIE_DIGITS)
+    reach = F.when(F.size("neighbours") >= k, F.element_at("neighbours", -1)["tie"] + 10.0**-TIE_DIGITS)
     bounds = near.select("row_id", reach.alias("reach"))
     bounded = asked.join(bounds, "row_id", "left").withColumn("reach", F.coalesce("reach", F.lit(math.inf)))
     visits = index.near_blocks(bounded, F.col("reach"), "block").select("row_id", "features", "block")
@@ -158,7 +162,7 @@ def nearest(
 ) -> DataFrame:
     """(row_id, neighbours): the k nearest pool rows of every query row.
 
-    ``neighbours`` is sorted by (distance, row id). ``exclude_self`` leaves the
+    ``neighbours`` is sorted by (rounded distance, row id). ``exclude_self`` leaves the
     row with the query's own id out.
     """
     wanted = k + 1 if exclude_self else k

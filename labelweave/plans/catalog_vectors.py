@@ -84,7 +84,8 @@ def d3(spark, d):
 
 @query("d4_backward_eliminate")
 def d4(spark, d):
-    kept = selection.backward_eliminate(_returns(spark, d), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "same"])
+    parts = table(spark, d, "part").withColumn("same", F.lit(1.0))
+    kept = selection.backward_eliminate(parts, "p_retailprice", ["p_partkey", "p_size", "same"])
     return spark.createDataFrame([(c,) for c in kept], "feature string")
 
 
