@@ -1,7 +1,8 @@
 """Committee members: fitted on labelled points, scored to (row_id, p0, p1).
 
 Points are (row_id, features, label). A pool with a single class still gives
-two probabilities, because the label column always declares both classes.
+two probabilities: every row gets that class, and no row a plane score, so
+margin triage sends all of them to the oracle.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ class Fitted:
     member: Member
     model: PipelineModel | None = None
     pool: DataFrame | None = None
+    only_class: int | None = None
 
     def score(self, points: DataFrame) -> DataFrame:
         """(row_id, p0, p1)."""
@@ -55,12 +57,17 @@ class Fitted:
             return knn_classify(points, self.pool, **params)
         if self.member.kind == "table":
             return points.select("row_id").join(self.member.params["scores"], "row_id").select("row_id", "p0", "p1")
+        if self.only_class is not None:
+            p1 = F.lit(float(self.only_class))
+            return points.select("row_id", (1 - p1).alias("p0"), p1.alias("p1"))
         scored = self.model.transform(with_vector(points))
         p = vector_to_array("probability")
         return scored.select("row_id", p[0].alias("p0"), p[1].alias("p1"))
 
     def margin(self, points: DataFrame) -> DataFrame:
         """(row_id, dist): signed score of the separating plane."""
+        if self.only_class is not None:
+            return points.select("row_id", F.lit(0.0).alias("dist"))
         scored = self.model.transform(with_vector(points))
         return scored.select("row_id", vector_to_array("plane")[1].alias("dist"))
 
@@ -110,8 +117,10 @@ def fit(member: Member, pool: DataFrame) -> Fitted:
         return Fitted(member, pool=pool.select("row_id", "features", "label"))
     if member.kind == "table":
         return Fitted(member)
-    n = pool.count() if member.kind in ("logistic", "margin") else 0
-    return Fitted(member, model=Pipeline(stages=_stages(member.kind, member.params, n)).fit(labelled(pool)))
+    seen = pool.agg(F.count("label").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).first()
+    if seen["low"] == seen["high"]:
+        return Fitted(member, only_class=int(seen["low"]))
+    return Fitted(member, model=Pipeline(stages=_stages(member.kind, member.params, seen["n"])).fit(labelled(pool)))
 
 
 def fit_committee(members: Sequence[Member], pool: DataFrame) -> list[Fitted]:
