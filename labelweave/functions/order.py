@@ -7,12 +7,20 @@ and shifted by the bucket's start. No task ever sorts more than one bucket.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_DIGITS = 4  # 16 ** 4 buckets: the bound of the broadcast start table
+MAX_BUCKET_DIGITS = 5  # at most 16 ** 5 buckets: the bound of the broadcast start table
+BUCKETS_PER_PARTITION = 32
+
+
+def bucket_digits(df: DataFrame) -> int:
+    """Hex digits that give every shuffle partition a few buckets to sort."""
+    wanted = BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2, min(MAX_BUCKET_DIGITS, math.ceil(math.log(wanted, 16))))
 
 
 def shuffle_key(*parts: Column | str | int) -> Column:
@@ -35,7 +43,7 @@ def rank_by_key(
     returned, and buckets that start at or after it are dropped before sorting.
     """
     by = list(by)
-    keyed = df.withColumn("_bucket", F.conv(F.substring(key, 1, BUCKET_DIGITS), 16, 10).cast("int"))
+    keyed = df.withColumn("_bucket", F.conv(F.substring(key, 1, bucket_digits(df)), 16, 10).cast("int"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         keyed.groupBy(*by, "_bucket")

@@ -16,10 +16,10 @@ from labelweave.functions.numbers import finite, to_number
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
-# A single-task exact median keeps at most this many values; larger columns
-# narrow a value range first.
-MEDIAN_ROWS = 1_000_000
-# Rank width (share of rows) left on either side of the middle by one narrowing.
+# Up to this many values a column's exact median is one plain aggregate, and
+# one task may rank this many distinct values.
+MEDIAN_ROWS = 50_000
+# Rank width (share of rows) kept on either side of the middle.
 MEDIAN_MARGIN = 0.001
 
 
@@ -65,108 +65,121 @@ def null_non_finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: finite(quoted(c)) for c in columns})
 
 
-def _narrow(df: DataFrame, columns: Sequence[str], bounds: dict, counts: dict) -> dict:
-    """Tighten each value range around the middle rank; ranges always keep it."""
-    fields = []
-    for i, c in enumerate(columns):
-        low, high = bounds[c]
-        below = counts[c][0]
-        inside = max(counts[c][1], 1)
-        middle = ((counts[c][2] - 1) / 2 - below) / inside
-        share = [max(middle - MEDIAN_MARGIN, 0.0), min(middle + MEDIAN_MARGIN, 1.0)]
-        value = quoted(c)
-        fields.append(
-            F.percentile_approx(F.when(value.between(low, high), value), share, 10000).alias(f"q{i}")
-        )
-    row = df.agg(*fields).first()
-    return {c: tuple(row[f"q{i}"]) for i, c in enumerate(columns)}
+def _middle_share(below: int, inside: int, total: int) -> list[float]:
+    middle = ((total - 1) / 2 - below) / max(inside, 1)
+    return [max(middle - MEDIAN_MARGIN, 0.0), min(middle + MEDIAN_MARGIN, 1.0)]
 
 
-def _count_ranges(df: DataFrame, columns: Sequence[str], bounds: dict, totals: dict) -> dict:
-    fields = []
-    for i, c in enumerate(columns):
-        low, high = bounds[c]
-        fields.append(F.count_if(quoted(c) < low).alias(f"b{i}"))
-        fields.append(F.count_if(quoted(c).between(low, high)).alias(f"i{i}"))
-    row = df.agg(*fields).first()
-    return {c: (row[f"b{i}"], row[f"i{i}"], totals[c]) for i, c in enumerate(columns)}
+def _narrow(df: DataFrame, live: Sequence[str], bounds: dict, totals: dict, task_rows: int) -> dict:
+    """Tighten value ranges round after round until each holds few rows.
+
+    Needed only where the first range still holds too many rows for one task.
+    A range is replaced only if counting shows that it keeps the middle ranks.
+    """
+    counts = {c: (0, totals[c]) for c in live}
+    kept = dict.fromkeys(live)
+    tried = bounds
+    while True:
+        fields = []
+        for i, c in enumerate(live):
+            fields.append(F.count_if(quoted(c) < tried[c][0]).alias(f"b{i}"))
+            fields.append(F.count_if(quoted(c).between(*tried[c])).alias(f"i{i}"))
+        row = df.agg(*fields).first()
+        shrunk = False
+        for i, c in enumerate(live):
+            below, inside = row[f"b{i}"], row[f"i{i}"]
+            holds = below <= (totals[c] - 1) // 2 and below + inside > totals[c] // 2
+            if holds and (kept[c] is None or inside < counts[c][1]):
+                kept[c], counts[c], shrunk = tried[c], (below, inside), True
+        wide = [c for c in live if kept[c] is None or (counts[c][1] > task_rows and kept[c][0] < kept[c][1])]
+        if not shrunk or not wide:
+            return kept
+        fields = []
+        for i, c in enumerate(live):
+            low, high = kept[c] or (None, None)
+            value = quoted(c) if kept[c] is None else F.when(quoted(c).between(low, high), quoted(c))
+            fields.append(F.percentile_approx(value, _middle_share(*counts[c], totals[c]), 10000).alias(f"q{i}"))
+        row = df.agg(*fields).first()
+        tried = {c: tuple(row[f"q{i}"]) for i, c in enumerate(live)}
+
+
+def _rank_inside(df: DataFrame, live: Sequence[str], bounds: dict, totals: dict) -> dict[str, tuple]:
+    """(value at the lower, at the upper middle rank) from one pass over the rows.
+
+    Values below a range are one counted entry and values above are dropped;
+    equal values are combined before they are ranked, so hot values cost one row.
+    """
+    entries = []
+    for i, c in enumerate(live):
+        low, high = bounds[c] or (None, None)
+        value = quoted(c)
+        if bounds[c] is not None:
+            value = F.when(value < low, F.lit(float("-inf"))).when(value <= high, value)
+        entries.append(F.struct(F.lit(i).alias("i"), value.alias("value")))
+    values = (
+        df.select(F.explode(F.array(*entries)).alias("e"))
+        .select("e.*")
+        .filter("value is not null")
+        .groupBy("i", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    upto = Window.partitionBy("i").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.withColumn("last", F.sum("n").over(upto))
+    total = F.element_at(F.array(*[F.lit(totals[c]) for c in live]), F.col("i") + 1)
+    at = {"a": F.floor((total - 1) / 2), "b": F.floor(total / 2)}
+    middle = ranked.groupBy("i").agg(
+        *[F.min(F.when(F.col("last") > rank, F.col("value"))).alias(name) for name, rank in at.items()]
+    )
+    return {live[r["i"]]: (r["a"], r["b"]) for r in middle.collect()}  # one row per column
 
 
 def exact_medians(
     df: DataFrame,
     columns: Sequence[str],
     stats: dict[str, tuple[int, float, float]],
+    ranges: dict[str, tuple[float, float]],
     task_rows: int = MEDIAN_ROWS,
 ) -> dict[str, float | None]:
     """Exact medians (mean of the two middle values) of finite columns.
 
-    ``stats`` holds (count, min, max). Small tables use one aggregate. Larger
-    ones narrow a value range per column by approximate quantiles, check by
-    counting that it still holds the middle ranks, and rank only the distinct
-    values left inside, so hot values cost one row each.
+    ``stats`` holds (count, min, max), ``ranges`` approximate quantiles around
+    the middle. Small tables use one aggregate. Otherwise one pass ranks the
+    distinct values inside the ranges; a range that missed the middle is
+    widened to all values.
     """
     live = [c for c in columns if stats[c][0] > 0]
     medians: dict[str, float | None] = {c: None for c in columns}
     if not live:
         return medians
-    if max(stats[c][0] for c in live) <= task_rows:
+    totals = {c: stats[c][0] for c in live}
+    if max(totals.values()) <= task_rows:
         row = df.agg(*[F.median(quoted(c)).alias(f"m{i}") for i, c in enumerate(live)]).first()
         return medians | {c: row[f"m{i}"] for i, c in enumerate(live)}
-
-    totals = {c: stats[c][0] for c in live}
-    bounds = {c: stats[c][1:3] for c in live}
-    counts = {c: (0, totals[c], totals[c]) for c in live}
-    while True:
-        tried = _narrow(df, live, bounds, counts)
-        found = _count_ranges(df, live, tried, totals)
-        shrunk = False
-        for c in live:
-            below, inside, total = found[c]
-            holds = below <= (total - 1) // 2 and below + inside > total // 2
-            if holds and inside < counts[c][1]:
-                bounds[c], counts[c] = tried[c], found[c]
-                shrunk = True
-        open_columns = [c for c in live if counts[c][1] > task_rows and bounds[c][0] < bounds[c][1]]
-        if not shrunk or not open_columns:
-            break
-
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.when(quoted(c).between(*bounds[c]), quoted(c)).alias("value"),
-            )
-            for i, c in enumerate(live)
-        ]
-    )
-    values = (
-        df.select(F.explode(entries).alias("e"))
-        .select("e.*")
-        .filter("value is not null")
-        .groupBy("i", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = Window.partitionBy("i").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = values.withColumn("last", F.sum("n").over(upto))
-    rank_low, rank_high = F.lit(None).cast("long"), F.lit(None).cast("long")
-    for i, c in enumerate(live):
-        below, _, total = counts[c]
-        rank_low = F.when(F.col("i") == i, F.lit((total - 1) // 2 - below)).otherwise(rank_low)
-        rank_high = F.when(F.col("i") == i, F.lit(total // 2 - below)).otherwise(rank_high)
-    middle = ranked.groupBy("i").agg(
-        F.min(F.when(F.col("last") > rank_low, F.col("value"))).alias("a"),
-        F.min(F.when(F.col("last") > rank_high, F.col("value"))).alias("b"),
-    )
-    for row in middle.collect():  # one row per column
-        medians[live[row["i"]]] = (row["a"] + row["b"]) / 2
+    bounds = {c: ranges[c] for c in live}
+    if max(totals.values()) * 4 * MEDIAN_MARGIN > task_rows:
+        bounds = _narrow(df, live, bounds, totals, task_rows)
+    while live:
+        missed = []
+        for c, (a, b) in _rank_inside(df, live, bounds, totals).items():
+            if a is None or b is None or float("-inf") in (a, b):
+                missed.append(c)
+            else:
+                medians[c] = (a + b) / 2
+        live = missed
+        bounds = dict.fromkeys(missed)
     return medians
 
 
 def fit_stats(
-    df: DataFrame, columns: Sequence[str], approximate: bool = False, task_rows: int = MEDIAN_ROWS
+    df: DataFrame,
+    columns: Sequence[str],
+    approximate: bool = False,
+    medians: bool = True,
+    task_rows: int = MEDIAN_ROWS,
 ) -> dict[str, ColumnStats]:
     """Count, min, max and median of the finite values of every column."""
     values = df.select(*[finite(_number(df, c)).alias(c) for c in columns])
+    share = [0.5 - MEDIAN_MARGIN, 0.5, 0.5 + MEDIAN_MARGIN]
     fields = []
     for i, c in enumerate(columns):
         fields += [
@@ -174,15 +187,19 @@ def fit_stats(
             F.min(quoted(c)).alias(f"l{i}"),
             F.max(quoted(c)).alias(f"h{i}"),
         ]
-        if approximate:
-            fields.append(F.percentile_approx(quoted(c), 0.5, 10000).alias(f"m{i}"))
+        if medians:
+            fields.append(F.percentile_approx(quoted(c), share, 10000).alias(f"q{i}"))
     row = values.agg(*fields).first()
     basic = {c: (row[f"n{i}"], row[f"l{i}"], row[f"h{i}"]) for i, c in enumerate(columns)}
-    if approximate:
-        medians = {c: row[f"m{i}"] for i, c in enumerate(columns)}
-    else:
-        medians = exact_medians(values, columns, basic, task_rows)
-    return {c: ColumnStats(*basic[c], medians[c]) for c in columns}
+    found: dict[str, float | None] = dict.fromkeys(columns)
+    if medians:
+        quantiles = {c: row[f"q{i}"] for i, c in enumerate(columns)}
+        if approximate:
+            found = {c: q[1] if q else None for c, q in quantiles.items()}
+        else:
+            ranges = {c: (q[0], q[2]) for c, q in quantiles.items() if q}
+            found = exact_medians(values, columns, basic, ranges, task_rows)
+    return {c: ColumnStats(*basic[c], found[c]) for c in columns}
 
 
 def impute_median(df: DataFrame, columns: Sequence[str], stats: dict[str, ColumnStats] | None = None) -> DataFrame:
@@ -203,7 +220,7 @@ def _scaled(value: Column, stats: ColumnStats) -> Column:
 
 def minmax_scale(df: DataFrame, columns: Sequence[str], stats: dict[str, ColumnStats] | None = None) -> DataFrame:
     """Scale to [0, 1] by the fitted range; a constant column becomes 0."""
-    stats = stats or fit_stats(df, columns, approximate=True)
+    stats = stats or fit_stats(df, columns, medians=False)
     return df.withColumns({c: _scaled(finite(_number(df, c)), stats[c]) for c in columns})
 
 

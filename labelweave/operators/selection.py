@@ -48,7 +48,22 @@ def feature_key(names: Sequence[str]) -> str:
     return " & ".join(names)
 
 
+# Up to this many columns one aggregate per pair is cheaper than vectors.
+PAIR_COLUMNS = 10
+
+
 def correlation(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Pearson matrix of complete rows; NaN where a column is constant."""
+    if len(columns) <= PAIR_COLUMNS:
+        values = df.select(*[quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).dropna()
+        places = [(i, j) for i in range(len(columns)) for j in range(i)]
+        spread = [F.stddev_pop(f"c{i}").alias(f"s{i}") for i in range(len(columns))]
+        row = values.agg(*spread, *[F.covar_pop(f"c{i}", f"c{j}").alias(f"v{i}_{j}") for i, j in places]).first()
+        r = np.eye(len(columns))
+        for i, j in places:
+            scale = (row[f"s{i}"] or 0.0) * (row[f"s{j}"] or 0.0)
+            r[i, j] = r[j, i] = row[f"v{i}_{j}"] / scale if scale > 0 else math.nan
+        return r
     vectors = with_vector(df.select(feature_array(columns).alias("features"))).select("vector")
     return Correlation.corr(vectors, "vector").head()[0].toArray()
 

@@ -92,7 +92,7 @@ def _items(spark, d):
     )
     keyed = raw.withColumn("_key", shuffle_key(*[F.col(c) for c in ITEM_KEY]))
     rows = rank_by_key(keyed, "_key", ITEM_KEY, out="row_id")
-    scaled = cleaning.minmax_scale(rows, ITEM_FEATURES)
+    scaled = cleaning.minmax_scale(rows, ITEM_FEATURES, cleaning.fit_stats(raw, ITEM_FEATURES, medians=False))
     return points(scaled, "row_id", ITEM_FEATURES, ["Label"])
 
 

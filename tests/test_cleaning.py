@@ -56,8 +56,9 @@ def test_label_scaled_only_on_request(spark):
     assert column(cleaning.clean(df, ["x", "Label"], scale_label=True), "Label") == [0.0, 0.0]
 
 
+@pytest.mark.parametrize("task_rows", [10, 3])
 @pytest.mark.parametrize("n", [1999, 2000])
-def test_narrowing_median_equals_single_pass(spark, n):
+def test_narrowing_median_equals_single_pass(spark, n, task_rows):
     df = spark.range(n).select(
         (F.pmod(F.xxhash64("id"), F.lit(1000003)) / 7).alias("a"),
         F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id").cast("double")).alias("hot"),
@@ -66,7 +67,7 @@ def test_narrowing_median_equals_single_pass(spark, n):
         F.lit(None).cast("double").alias("none"),
     )
     names = ["a", "hot", "two", "edge", "none"]
-    slow = cleaning.fit_stats(df, names, task_rows=10)
+    slow = cleaning.fit_stats(df, names, task_rows=task_rows)
     assert slow == cleaning.fit_stats(df, names)
 
 
