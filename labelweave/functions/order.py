@@ -36,14 +36,20 @@ def rank_by_key(
     by: Sequence[str] = (),
     limit: Column | int | None = None,
     out: str = "ord",
+    groups: int | None = None,
 ) -> DataFrame:
     """0-based rank by (``key``, ``ties``) inside each ``by`` group.
 
     ``key`` is a hex digest column. With ``limit`` only ranks below it are
     returned, and buckets that start at or after it are dropped before sorting.
+    ``groups`` is the number of ``by`` groups where it is known: the start
+    table is broadcast if groups x buckets stays below a fixed bound.
     """
     by = list(by)
-    keyed = df.withColumn("_bucket", F.conv(F.substring(key, 1, bucket_digits(df)), 16, 10).cast("int"))
+    digits = bucket_digits(df)
+    starts_bound = 16**digits * (groups if by and groups else 1)
+    small = (not by or groups is not None) and starts_bound <= 16**MAX_BUCKET_DIGITS
+    keyed = df.withColumn("_bucket", F.conv(F.substring(key, 1, digits), 16, 10).cast("int"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         keyed.groupBy(*by, "_bucket")
@@ -56,7 +62,7 @@ def rank_by_key(
     match = F.col("_bucket") == F.col("_b")
     for c in by:
         match = match & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    joined = keyed.join(starts if by else F.broadcast(starts), match)
+    joined = keyed.join(F.broadcast(starts) if small else starts, match)
     inside = Window.partitionBy(*by, "_bucket").orderBy(key, *ties)
     ranked = joined.withColumn(out, (F.row_number().over(inside) - 1 + F.col("_start")).cast("long"))
     if limit is not None:

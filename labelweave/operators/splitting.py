@@ -137,4 +137,4 @@ def repeated_subsamples(
     )
     by = ["fold", "size", "repeat"]
     keyed = spread.withColumn("_key", shuffle_key(seed, *[F.col(c) for c in by], F.col(id_col)))
-    return rank_by_key(keyed, "_key", [id_col], by=by, limit=F.col("size")).drop("_key")
+    return rank_by_key(keyed, "_key", [id_col], by=by, limit=F.col("size"), groups=len(keys)).drop("_key")
