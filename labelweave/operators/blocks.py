@@ -21,6 +21,7 @@ from labelweave.functions.vectors import norm
 BLOCK_ROWS = 1024
 MIN_BLOCK_ROWS = 64
 BLOCKS_WANTED = 16
+MAX_SLABS = 4096
 
 
 def block_rows(n: int) -> int:
@@ -79,10 +80,15 @@ class Index:
 
 
 def build_index(points: DataFrame, p: int, rows: int | None = None) -> Index:
-    """Slabs of about equal size from approximate quantiles of the lengths."""
+    """Slabs of about equal size from approximate quantiles of the lengths.
+
+    Neighbouring slabs that came out thin (equal lengths pull quantiles
+    together) are merged, so that every block holds at least about half of
+    ``rows``; the number of slabs is bounded, larger ones get more parts.
+    """
     n = points.count()
     rows = rows or block_rows(n)
-    wanted = max(1, math.ceil(n / rows))
+    wanted = max(1, min(MAX_SLABS, math.ceil(n / rows)))
     lengths = points.select(norm(F.col("features"), p).alias("length"))
     splits = [-math.inf, math.inf]
     if wanted > 1:
@@ -90,11 +96,22 @@ def build_index(points: DataFrame, p: int, rows: int | None = None) -> Index:
         found = lengths.agg(F.percentile_approx("length", fractions, max(10000, 20 * wanted)).alias("q")).first()["q"]
         splits = [-math.inf, *sorted(set(found)), math.inf]
     plain = Index(p, splits, [0], [1])
-    sizes = plain.slab(lengths, F.col("length"), "slab").groupBy("slab").count().collect()
+    sizes = plain.slab(lengths, F.col("length"), "slab").groupBy("slab").count().collect()  # at most MAX_SLABS rows
     counts = {r["slab"]: r["count"] for r in sizes}
-    parts = [max(1, math.ceil(counts.get(s, 0) / rows)) for s in range(len(splits) - 1)]
+    cuts, held, total = [-math.inf], [], 0
+    for slab in range(len(splits) - 1):
+        total += counts.get(slab, 0)
+        if total >= rows / 2 and slab < len(splits) - 2:
+            cuts.append(splits[slab + 1])
+            held.append(total)
+            total = 0
+    if held and total < rows / 2:
+        cuts.pop()
+        total += held.pop()
+    held.append(total)
+    parts = [max(1, math.ceil(count / rows)) for count in held]
     first = [sum(parts[:s]) for s in range(len(parts))]
-    return Index(p, splits, first, parts)
+    return Index(p, [*cuts, math.inf], first, parts)
 
 
 def tiles(points: DataFrame, index: Index, radius: float | None = None) -> DataFrame:
