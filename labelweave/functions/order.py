@@ -37,13 +37,15 @@ def rank_by_key(
     limit: Column | int | None = None,
     out: str = "ord",
     groups: int | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """0-based rank by (``key``, ``ties``) inside each ``by`` group.
 
     ``key`` is a hex digest column. With ``limit`` only ranks below it are
     returned, and buckets that start at or after it are dropped before sorting.
     ``groups`` is the number of ``by`` groups where it is known: the start
-    table is broadcast if groups x buckets stays below a fixed bound.
+    table is broadcast if groups x buckets stays below a fixed bound. ``total``
+    names a column for the rows of the whole group, known from the same counts.
     """
     by = list(by)
     digits = bucket_digits(df)
@@ -56,9 +58,13 @@ def rank_by_key(
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     )
+    extra = []
+    if total is not None:
+        starts = starts.withColumn(total, F.sum("_n").over(Window.partitionBy(*by)))
+        extra = [total]
     if limit is not None:
         starts = starts.filter(F.col("_start") < limit)
-    starts = starts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bucket").alias("_b"), "_start")
+    starts = starts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bucket").alias("_b"), "_start", *extra)
     match = F.col("_bucket") == F.col("_b")
     for c in by:
         match = match & F.col(c).eqNullSafe(F.col(f"_by_{c}"))

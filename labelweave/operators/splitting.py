@@ -12,19 +12,29 @@ from labelweave.functions.order import rank_by_key, shuffle_key
 from labelweave.sources.tables import sample_n
 
 
-def shuffle(df: DataFrame, seed: int, id_col: str = "row_id", out: str = "ord") -> DataFrame:
-    """Seeded order of the rows as a dense 0-based ordinal."""
+def shuffle(
+    df: DataFrame, seed: int, id_col: str = "row_id", out: str = "ord", total: str | None = None
+) -> DataFrame:
+    """Seeded order of the rows as a dense 0-based ordinal.
+
+    ``total`` names a column for the row count, which the ranks need anyway.
+    """
     keyed = df.withColumn("_key", shuffle_key(seed, F.col(id_col)))
-    return rank_by_key(keyed, "_key", [id_col], out=out).drop("_key")
+    return rank_by_key(keyed, "_key", [id_col], out=out, total=total).drop("_key")
 
 
 def _row_count(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1))).scalar()
 
 
-def chunk(df: DataFrame, n: int, ord_col: str = "ord", out: str = "chunk") -> DataFrame:
-    """Near-equal chunks of the ordinal; the first ``N mod n`` get one extra row."""
-    sized = df.withColumn("_rows", _row_count(df))
+def chunk(
+    df: DataFrame, n: int, ord_col: str = "ord", out: str = "chunk", rows: Column | None = None
+) -> DataFrame:
+    """Near-equal chunks of the ordinal; the first ``N mod n`` get one extra row.
+
+    ``rows`` is the row count where it is at hand; otherwise it is counted.
+    """
+    sized = df.withColumn("_rows", _row_count(df) if rows is None else rows)
     low = F.floor(F.col("_rows") / F.lit(n)).cast("long")
     extra = F.col("_rows") % n
     head = extra * (low + 1)
@@ -67,7 +77,8 @@ def split(
     df: DataFrame, n: int = 5, n_train: int = 3, n_test: int = 2, seed: int = 0, id_col: str = "row_id"
 ) -> DataFrame:
     """Shuffle, cut into chunks and spread over all train/test folds."""
-    return fold_pairs(chunk(shuffle(df, seed, id_col), n), n, n_train, n_test)
+    ordered = shuffle(df, seed, id_col, total="_total")
+    return fold_pairs(chunk(ordered, n, rows=F.col("_total")).drop("_total"), n, n_train, n_test)
 
 
 def assign_batches(df: DataFrame, init: int, size: int, ord_col: str = "ord", out: str = "iteration") -> DataFrame:
@@ -96,10 +107,13 @@ def remove_rows(df: DataFrame, used: DataFrame, id_col: str = "row_id") -> DataF
     return df.join(used.select(id_col), id_col, "left_anti")
 
 
-def holdout_tail(df: DataFrame, share: float, ord_col: str = "ord", overlap: bool = True) -> DataFrame:
+def holdout_tail(
+    df: DataFrame, share: float, ord_col: str = "ord", overlap: bool = True, rows: Column | None = None
+) -> DataFrame:
     """Mark the last rows as hold-out; with ``overlap`` they also stay in train."""
     start = F.col("_rows") - F.floor(F.col("_rows") * F.lit(share)).cast("long")
-    marked = df.withColumn("_rows", _row_count(df)).withColumn("holdout", F.col(ord_col) >= start)
+    counted = df.withColumn("_rows", _row_count(df) if rows is None else rows)
+    marked = counted.withColumn("holdout", F.col(ord_col) >= start)
     return marked.withColumn("train", F.lit(True) if overlap else ~F.col("holdout")).drop("_rows")
 
 

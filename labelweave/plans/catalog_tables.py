@@ -322,7 +322,8 @@ CHUNKS = """
 
 @query("c2_chunk", CHUNKS.format(n=7, ord=ORD))
 def c2(spark, d):
-    return splitting.chunk(splitting.shuffle(_orders(spark, d), SEED, "o_orderkey"), 7)
+    ordered = splitting.shuffle(_orders(spark, d), SEED, "o_orderkey", total="_total")
+    return splitting.chunk(ordered, 7, rows=F.col("_total")).drop("_total")
 
 
 def _fold_values(n, n_train, n_test, reverse=True):
@@ -426,8 +427,8 @@ def c9(spark, d):
     """,
 )
 def c10(spark, d):
-    rows = splitting.shuffle(_orders(spark, d).select("o_orderkey"), SEED, "o_orderkey")
-    return splitting.holdout_tail(rows, 0.3)
+    rows = splitting.shuffle(_orders(spark, d).select("o_orderkey"), SEED, "o_orderkey", total="_total")
+    return splitting.holdout_tail(rows, 0.3, rows=F.col("_total")).drop("_total")
 
 
 @query(

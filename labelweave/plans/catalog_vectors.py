@@ -286,9 +286,9 @@ SPLIT_SQL = f"""
 
 def pool_and_rest(spark, d):
     """A fifth of the rows as labelled pool, the others to be labelled."""
-    rows = splitting.shuffle(embedded(spark, d), POOL_SEED)
-    cut = rows.agg(F.floor(F.count(F.lit(1)) / 5)).scalar()
-    return rows.filter(F.col("ord") < cut), rows.filter(F.col("ord") >= cut)
+    rows = splitting.shuffle(embedded(spark, d), POOL_SEED, total="_total")
+    cut = F.floor(F.col("_total") / 5)
+    return rows.filter(F.col("ord") < cut).drop("_total"), rows.filter(F.col("ord") >= cut).drop("_total")
 
 
 KNN = f"""
