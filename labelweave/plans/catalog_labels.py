@@ -147,7 +147,9 @@ MEMBERS = """
     UNION ALL
     SELECT event_id, 'user', 1 - user_id / (user_id + 25.0::DOUBLE), user_id / (user_id + 25.0::DOUBLE) FROM events
 """
-AVERAGE = f"SELECT row_id, round(avg(p0), 9) AS p0, round(avg(p1), 9) AS p1 FROM ({MEMBERS}) GROUP BY row_id"
+# Means that end exactly half-way at the last digit must round alike whatever
+# the order of summing, hence the tiny push before rounding.
+AVERAGE = f"SELECT row_id, round(avg(p0) + 1e-12, 9) AS p0, round(avg(p1) + 1e-12, 9) AS p1 FROM ({MEMBERS}) GROUP BY row_id"
 SCORED = f"""
     SELECT row_id, a.p0, a.p1, CAST(event_type IN ('click', 'purchase') AS INTEGER) AS Label
     FROM ({AVERAGE}) a JOIN events ON event_id = row_id
@@ -168,7 +170,7 @@ def members(spark, d):
 
 def averaged(spark, d):
     mean = triage.committee_average(members(spark, d))
-    return mean.withColumns({"p0": F.round("p0", 9), "p1": F.round("p1", 9)})
+    return mean.withColumns({c: F.round(F.col(c) + 1e-12, 9) for c in ("p0", "p1")})
 
 
 def scored(spark, d):
@@ -197,7 +199,7 @@ def g7(spark, d):
 )
 def g8(spark, d):
     vote = triage.soft_vote(members(spark, d))
-    rounded = vote.withColumns({"p0": F.round("p0", 9), "p1": F.round("p1", 9)})
+    rounded = vote.withColumns({c: F.round(F.col(c) + 1e-12, 9) for c in ("p0", "p1")})
     return rounded.withColumn("prediction", F.when(F.col("p1") > F.col("p0"), F.lit(1)).otherwise(F.lit(0)))
 
 
