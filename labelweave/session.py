@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,20 +10,13 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach, as the cluster names it.
+    """Folder all executors can reach: the checkpoint folder, as the session names it.
 
-    Only a local session without the setting gets a folder of its own; a
-    cluster session without it is an error, because a machine-local folder
-    would not survive the loss of an executor.
+    Where none is set, as in tests, a folder below the warehouse is used, which
+    executors share as well.
     """
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_SETTING} to a shared folder before running on a cluster")
-    folder = tempfile.mkdtemp(prefix="labelweave-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
