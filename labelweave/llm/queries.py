@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from labelweave.llm import packing, sentencepieces
+from labelweave.llm import packing, quality, sentencepieces, simhash, toxicity
 from labelweave.plans.catalog import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -36,3 +37,30 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sentencepieces.digests(docs, public_tokenizers.path(PIECE_MODEL))
+
+
+@query("op9_simhash_golay")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_kneser_ney_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    found = quality.judged(docs, table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id",
+        "lang",
+        F.col("_perplexity").alias("perplexity"),
+        F.col("_threshold").alias("threshold"),
+        F.col("_keep").alias("keep"),
+    )
+
+
+@query("op4_kneser_ney_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.scored(docs, table(spark, sf_dir, "labels"))
+    predicted = (F.col("score") >= toxicity.REJECT).cast("int")
+    held_out = toxicity.fold_of() == toxicity.HELD_OUT
+    return found.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))

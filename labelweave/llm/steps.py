@@ -10,7 +10,7 @@ from labelweave.session import materialise
 BROADCAST_ROWS = 1_000_000  # a side of id and small number columns below this may be broadcast
 
 
-def join_sized(left: DataFrame, right: DataFrame, on: str, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+def join_sized(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join that broadcasts ``right`` only when it has at most ``limit`` rows.
 
     Beyond the limit both sides are shuffled on ``on``; the rows are the same.
