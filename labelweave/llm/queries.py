@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import packing, quality, sentencepieces, simhash, toxicity
+from labelweave.llm import licenses, minhash, packing, quality, sentencepieces, simhash, toxicity
 from labelweave.plans.catalog import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -64,3 +64,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     predicted = (F.col("score") >= toxicity.REJECT).cast("int")
     held_out = toxicity.fold_of() == toxicity.HELD_OUT
     return found.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op10_densified_minhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compare_with_edits(table(spark, sf_dir, "documents"))
