@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import licenses, minhash, packing, quality, sentencepieces, simhash, toxicity
+from labelweave.llm import chats, licenses, minhash, packing, quality, sentencepieces, simhash, toxicity, urls
 from labelweave.plans.catalog import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -74,3 +74,81 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_densified_minhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op1_chat_snapshots",
+    """
+    WITH turns AS (
+        SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations WHERE conv_id IS NOT NULL),
+    placed AS (
+        SELECT conv_id, role, text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+        FROM turns),
+    prefixes AS (
+        SELECT conv_id, place, md5(string_agg(length(role) || ':' || role || ':' || length(text) || ':' || text, '|')
+               OVER (PARTITION BY conv_id ORDER BY place)) AS prefix
+        FROM placed),
+    ends AS (
+        SELECT min(conv_id) AS conv_id, place AS n_turns, prefix, count(*) AS n_copies
+        FROM (SELECT * FROM prefixes QUALIFY place = max(place) OVER (PARTITION BY conv_id)) GROUP BY place, prefix),
+    proper AS (
+        SELECT DISTINCT place, prefix FROM prefixes
+        QUALIFY place < max(place) OVER (PARTITION BY conv_id)),
+    kept AS (
+        SELECT conv_id, n_turns, n_copies FROM ends
+        WHERE NOT EXISTS (SELECT 1 FROM proper p WHERE p.place = ends.n_turns AND p.prefix = ends.prefix))
+    SELECT conv_id, CAST((place - 1) // 256 AS INTEGER) AS part, n_turns, n_copies,
+           string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY place)
+               AS text
+    FROM placed JOIN kept USING (conv_id) GROUP BY ALL
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.render(table(spark, sf_dir, "conversations"))
+
+
+@query(
+    "op2_redirect_equivalence",
+    """
+    WITH RECURSIVE rules(rule, rule_host, rule_path, decides) AS (
+        VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+               ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+    declared AS (
+        SELECT url AS a, unnest(list_concat(
+            [regexp_extract(t, '(?is)href\s*=\s*["'']?([^"''\s>]+)', 1)
+             FOR t IN regexp_extract_all(html, '(?is)<link\b[^>]*>')
+             IF regexp_matches(t, '(?is)\brel\s*=\s*["'']?canonical["''\s>]')],
+            [regexp_extract(t, '(?is)\burl\s*=\s*[''"]?([^''">\s]+)', 1)
+             FOR t IN regexp_extract_all(html, '(?is)<meta\b[^>]*>')
+             IF regexp_matches(t, '(?is)http-equiv\s*=\s*["'']?refresh')])) AS b
+        FROM pages),
+    edges AS (
+        SELECT DISTINCT regexp_replace(a, '(?s)#.*$', '') AS a, regexp_replace(b, '(?s)#.*$', '') AS b
+        FROM declared WHERE a IS NOT NULL AND contains(b, '://')),
+    sym AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+    reach AS (SELECT a AS node, a AS other FROM sym UNION SELECT r.node, s.b FROM reach r JOIN sym s ON r.other = s.a),
+    addresses AS (
+        SELECT url FROM pages UNION SELECT node FROM reach),
+    parts AS (
+        SELECT url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+        FROM addresses),
+    fits AS (
+        SELECT url, host, path, max_by(rule, length(rule)) AS rule, max_by(decides, length(rule)) AS decides
+        FROM parts LEFT JOIN rules
+            ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        GROUP BY ALL),
+    aliases AS (
+        SELECT node, min(other) AS alias_of, bool_or(decides = 'block') AS bad
+        FROM reach JOIN fits ON url = other GROUP BY node)
+    SELECT page_id, host, path, rule,
+           coalesce(decides, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict, alias_of
+    FROM pages JOIN fits ON pages.url IS NOT DISTINCT FROM fits.url
+        LEFT JOIN aliases ON node = regexp_replace(pages.url, '(?s)#.*$', '')
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
