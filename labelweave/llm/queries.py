@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import chats, licenses, minhash, packing, quality, sentencepieces, simhash, toxicity, urls
+from labelweave.llm import chats, licenses, minhash, multi_index, packing, quality, sentencepieces, simhash, toxicity, urls
 from labelweave.plans.catalog import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -152,3 +152,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op7_inverted_multi_index")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"))
