@@ -153,7 +153,11 @@ def _interpolated(seen: pa.Table, contexts: pa.Table, lower: np.ndarray, order:
 
 
 def with_number(docs: DataFrame, name: str, score: Callable[[str], float | None]) -> DataFrame:
-    """``docs`` with a double column that ``score`` gives for each whole text; all other columns pass."""
+    """``docs`` with a double column that ``score`` gives for each whole text; all other columns pass.
+
+    A column of that name is replaced.
+    """
+    docs = docs.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,7 +17,7 @@ word joins exactly what has to be joined, in rows linear in their number.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -148,40 +148,42 @@ def _link(keys: np.ndarray, values: np.ndarray) -> tuple[list, list]:
     return a, b
 
 
-def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Reads rows sorted by key. Gives joined pairs (a, b), and (a, null) for members of large groups."""
-    keys, values, large = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+def linker(run: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Reads rows sorted by key; gives joined pairs (a, b), and (a, null) for members of groups larger than ``run``."""
 
-    def out(a, b):
+    def pairs(a: list, b: list) -> pd.DataFrame:
         a = np.concatenate(a) if a else np.zeros(0, np.int64)
         b = np.concatenate(b) if b else np.zeros(0, np.int64)
         return pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64")})
 
-    def members(found):
-        frame = pd.DataFrame({"a": pd.array(found, "Int64")})
-        return frame.assign(b=pd.array([None] * len(found), "Int64"))
+    def members(found: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"a": pd.array(found, "Int64")}).assign(b=pd.array([None] * len(found), "Int64"))
 
-    for batch in batches:
-        keys = np.r_[keys, batch["key"].to_numpy()]
-        values = np.r_[values, batch["fingerprint"].to_numpy()]
-        if large is not None:  # the last group goes on
-            same = np.searchsorted(keys, large, "right")
-            yield members(values[:same])
-            keys, values = keys[same:], values[same:]
-        if not len(keys):
-            continue
-        large = None
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        sizes = np.diff(np.r_[starts, len(keys)])
-        over = np.repeat(sizes > RUN, sizes)
-        if over.any():
-            yield members(values[over])
-            large = keys[-1] if over[-1] else None
-        last = len(keys) if over[-1] else starts[-1]
-        done = ~over & (np.arange(len(keys)) < last)
-        yield out(*_link(keys[done], values[done]))
-        keys, values = keys[last:], values[last:]
-    yield out(*_link(keys, values))
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, values, large = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        for batch in batches:
+            keys = np.r_[keys, batch["key"].to_numpy()]
+            values = np.r_[values, batch["fingerprint"].to_numpy()]
+            if large is not None:  # the last group goes on
+                same = np.searchsorted(keys, large, "right")
+                yield members(values[:same])
+                keys, values = keys[same:], values[same:]
+            if not len(keys):
+                continue
+            large = None
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            sizes = np.diff(np.r_[starts, len(keys)])
+            over = np.repeat(sizes > run, sizes)
+            if over.any():
+                yield members(values[over])
+                large = keys[-1] if over[-1] else None
+            last = len(keys) if over[-1] else starts[-1]
+            done = ~over & (np.arange(len(keys)) < last)
+            yield pairs(*_link(keys[done], values[done]))
+            keys, values = keys[last:], values[last:]
+        yield pairs(*_link(keys, values))
+
+    return linked
 
 
 def _balls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,16 +193,16 @@ def _balls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     masks = np.r_[np.uint64(0), one, one[i] | one[j]]
     beside = np.r_[np.ones(65, bool), np.zeros(len(i), bool)]
     for batch in batches:
-        for value in batch["a"].to_numpy():
-            words = (np.uint64(value & 0xFFFFFFFFFFFFFFFF if value >= 0 else value + (1 << 64)) ^ masks).view(np.int64)
+        for value in batch["a"].to_numpy(np.int64):
+            words = (value.view(np.uint64) ^ masks).view(np.int64)
             yield pd.DataFrame({"word": words, "a": value, "beside": beside})
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, run: int = RUN) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints whose components are those of all pairs within three bits."""
     keyed = distinct.select("fingerprint").mapInPandas(_keyed, "key long, fingerprint long")
     grouped = keyed.repartition("key").sortWithinPartitions("key", "fingerprint")
-    found = saved(grouped.mapInPandas(_linked, "a long, b long"), "simhash-links")
+    found = saved(grouped.mapInPandas(linker(run), "a long, b long"), "simhash-links")
     large = found.filter("b is null").select("a").distinct()
     pairs = found.filter("b is not null")
     if large.head(1):
