@@ -10,11 +10,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelweave.session import materialise
+
 MAX_BUCKET_DIGITS = 5  # at most 16 ** 5 buckets: the bound of the broadcast start table
 BUCKETS_PER_PARTITION = 32
+MAX_RANGES = 2048  # value ranges of a running sum, whatever the number of shuffle partitions
 
 
 def bucket_digits(df: DataFrame) -> int:
@@ -68,7 +72,8 @@ def rank_by_key(
     match = F.col("_bucket") == F.col("_b")
     for c in by:
         match = match & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    joined = keyed.join(F.broadcast(starts) if small else starts, match)
+    # Read back as a table, large starts no longer tempt the planner to keep a whole group in one task.
+    joined = keyed.join(F.broadcast(starts) if small else materialise(starts, "bucket-starts"), match)
     inside = Window.partitionBy(*by, "_bucket").orderBy(key, *ties)
     ranked = joined.withColumn(out, (F.row_number().over(inside) - 1 + F.col("_start")).cast("long"))
     if limit is not None:
@@ -81,16 +86,16 @@ def prefix_sums(df: DataFrame, order: str, sums: dict[str, str], descending: boo
 
     ``sums`` maps new column to summed column. Rows are cut into value ranges
     by approximate quantiles; each range is summed on its own and shifted by
-    the total of the ranges before it.
+    the total of the ranges before it. The ranges, at most ``MAX_RANGES``, are
+    found by binary search.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     fractions = [i / parts for i in range(1, parts)] or [0.5]
     cuts = df.agg(F.percentile_approx(order, fractions, 10000).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    part = F.lit(0)
-    for cut in cuts:
-        part = part + F.when(F.col(order) > F.lit(cut), 1).otherwise(0)
-    keyed = df.withColumn("_part", part)
+    splits = [-math.inf, *sorted({float(c) for c in cuts}), math.inf]
+    valued = df.withColumn("_order", F.col(order).cast("double"))
+    cutter = Bucketizer(splits=splits, inputCol="_order", outputCol="_cut")
+    keyed = cutter.transform(valued).withColumn("_part", F.col("_cut").cast("int")).drop("_order", "_cut")
     direction = F.col(order).desc() if descending else F.col(order).asc()
     part_order = F.col("_part").desc() if descending else F.col("_part").asc()
     before = Window.orderBy(part_order).rowsBetween(Window.unboundedPreceding, -1)

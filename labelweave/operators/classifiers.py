@@ -76,13 +76,13 @@ def labelled(pool: DataFrame) -> DataFrame:
     return with_vector(pool).withColumn("label", F.col("label").cast("double").alias("label", metadata=TWO_CLASSES))
 
 
-def _stages(kind: str, params: dict, n: int) -> list:
-    """Spark ML stages; a penalty C is turned into 1 / (C n)."""
+def ml_stages(kind: str, params: dict, n: int) -> list:
+    """Spark ML stages; a penalty C is turned into 1 / (C n). Trees grow to depth 30, the most Spark allows."""
     penalty = 1.0 / (params.get("C", 10.0) * max(n, 1))
     if kind == "forest":
         return [
             RandomForestClassifier(
-                numTrees=params.get("n_trees", 600), maxDepth=params.get("max_depth", 10), seed=params.get("seed", 42),
+                numTrees=params.get("n_trees", 600), maxDepth=params.get("max_depth", 30), seed=params.get("seed", 42),
                 featuresCol="vector", labelCol="label",
             )
         ]
@@ -99,7 +99,8 @@ def _stages(kind: str, params: dict, n: int) -> list:
             labelCol="label", rawPredictionCol="plane", predictionCol="side",
         )
         as_feature = VectorAssembler(inputCols=["plane"], outputCol="plane_vector")
-        chance = LogisticRegression(featuresCol="plane_vector", labelCol="label")
+        # Without an intercept the likelier class is the one on whose side of the plane a row lies.
+        chance = LogisticRegression(featuresCol="plane_vector", labelCol="label", fitIntercept=False)
         return [plane, as_feature, chance]
     if kind == "network":
         return [
@@ -117,10 +118,13 @@ def fit(member: Member, pool: DataFrame) -> Fitted:
         return Fitted(member, pool=pool.select("row_id", "features", "label"))
     if member.kind == "table":
         return Fitted(member)
+    pool = pool.filter("label is not null")
     seen = pool.agg(F.count("label").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).first()
+    if not seen["n"]:
+        raise ValueError(f"member {member.name} has no labelled rows to learn from")
     if seen["low"] == seen["high"]:
         return Fitted(member, only_class=int(seen["low"]))
-    return Fitted(member, model=Pipeline(stages=_stages(member.kind, member.params, seen["n"])).fit(labelled(pool)))
+    return Fitted(member, model=Pipeline(stages=ml_stages(member.kind, member.params, seen["n"])).fit(labelled(pool)))
 
 
 def fit_committee(members: Sequence[Member], pool: DataFrame) -> list[Fitted]:

@@ -145,7 +145,7 @@ def exact_medians(
     ``stats`` holds (count, min, max), ``ranges`` approximate quantiles around
     the middle. Small tables use one aggregate. Otherwise one pass ranks the
     distinct values inside the ranges; a range that missed the middle is
-    widened to all values.
+    taken anew, eight times as wide each time.
     """
     live = [c for c in columns if stats[c][0] > 0]
     medians: dict[str, float | None] = {c: None for c in columns}
@@ -158,6 +158,7 @@ def exact_medians(
     bounds = {c: ranges[c] for c in live}
     if max(totals.values()) * 4 * MEDIAN_MARGIN > task_rows:
         bounds = _narrow(df, live, bounds, totals, task_rows)
+    margin = MEDIAN_MARGIN
     while live:
         missed = []
         for c, (a, b) in _rank_inside(df, live, bounds, totals).items():
@@ -165,8 +166,11 @@ def exact_medians(
                 missed.append(c)
             else:
                 medians[c] = (a + b) / 2
-        live = missed
-        bounds = dict.fromkeys(missed)
+        live, margin = missed, margin * 8
+        if live:
+            share = [max(0.5 - margin, 0.0), min(0.5 + margin, 1.0)]
+            row = df.agg(*[F.percentile_approx(quoted(c), share, 10000).alias(f"q{i}") for i, c in enumerate(live)]).first()
+            bounds = {c: tuple(row[f"q{i}"]) if margin < 0.5 else None for i, c in enumerate(live)}
     return medians
 
 
@@ -291,6 +295,11 @@ def drop_columns(df: DataFrame, names: Sequence[str] = (), last: int = 0) -> Dat
     return df.select(*[quoted(c) for c in kept])
 
 
+def select_features(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """The named feature columns behind the ``keep`` columns, in the given order; names may hold any character."""
+    return df.select(*[quoted(c) for c in [*keep, *features]])
+
+
 def exclude_matching(df: DataFrame, column: str, pattern: str) -> DataFrame:
     """Rows whose text does not match the regular expression."""
     return df.filter(~quoted(column).rlike(pattern))

@@ -99,7 +99,7 @@ def typed_results(df: DataFrame, columns: Sequence[tuple[str, str]] = RESULT_COL
         kind = kinds.get(c, "string")
         value = quoted(c).cast("string")
         if kind == "bigint":
-            typed = value.try_cast("double").cast("bigint")
+            typed = F.coalesce(value.try_cast("bigint"), F.nanvl(value.try_cast("double"), F.lit(None).cast("double")).cast("bigint"))
         elif kind == "double":
             typed = value.try_cast("double")
         else:

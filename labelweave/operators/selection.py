@@ -13,29 +13,26 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.functions.vectors import feature_array, with_vector
+from labelweave.functions.vectors import with_vector
 from labelweave.operators.cleaning import quoted
 
 
 def corr_with_target(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
-    """(feature, r): Pearson correlation with the target; null for a constant."""
-    y = quoted(target).cast("double")
+    """(feature, r): Pearson correlation with the target; null for a constant.
+
+    Each feature counts the rows where it and the target are present.
+    """
 
     def entry(c: str):
-        x = quoted(c).cast("double")
+        x, y = (quoted(n).cast("double") for n in (c, target))
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
         r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
         return F.struct(F.lit(c).alias("feature"), r.alias("r"))
 
-    complete = df.dropna(subset=[quoted_name(c) for c in [target, *columns]])
-    return complete.agg(F.array(*[entry(c) for c in columns]).alias("rows")).select(F.inline("rows"))
-
-
-def quoted_name(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    return df.agg(F.array(*[entry(c) for c in columns]).alias("rows")).select(F.inline("rows"))
 
 
 def correl_selection(df: DataFrame, target: str, columns: Sequence[str], threshold: float = 0.05) -> DataFrame:
@@ -48,24 +45,25 @@ def feature_key(names: Sequence[str]) -> str:
     return " & ".join(names)
 
 
-# Up to this many columns one aggregate per pair is cheaper than vectors.
-PAIR_COLUMNS = 10
-
-
 def correlation(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """Pearson matrix of complete rows; NaN where a column is constant."""
-    if len(columns) <= PAIR_COLUMNS:
-        values = df.select(*[quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).dropna()
-        places = [(i, j) for i in range(len(columns)) for j in range(i)]
-        spread = [F.stddev_pop(f"c{i}").alias(f"s{i}") for i in range(len(columns))]
-        row = values.agg(*spread, *[F.covar_pop(f"c{i}", f"c{j}").alias(f"v{i}_{j}") for i, j in places]).first()
-        r = np.eye(len(columns))
-        for i, j in places:
-            scale = (row[f"s{i}"] or 0.0) * (row[f"s{j}"] or 0.0)
-            r[i, j] = r[j, i] = row[f"v{i}_{j}"] / scale if scale > 0 else math.nan
-        return r
-    vectors = with_vector(df.select(feature_array(columns).alias("features"))).select("vector")
-    return Correlation.corr(vectors, "vector").head()[0].toArray()
+    """Pearson matrix, each pair over the rows where both are present; NaN where a column is constant there.
+
+    Rows are turned into one row per present value, which meets all other
+    columns in one aggregate; sums are combined before the shuffle.
+    """
+    d = len(columns)
+    values = df.select(*[quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    turned = values.select("*", F.posexplode(F.array(*[f"c{i}" for i in range(d)])).alias("i", "x")).filter("x is not null")
+    fields = []
+    for j in range(d):
+        x, y = F.when(F.col(f"c{j}").isNotNull(), F.col("x")), F.col(f"c{j}")
+        fields.append(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"r{j}"))
+    r = np.full((d, d), math.nan)
+    for row in turned.groupBy("i").agg(*fields).collect():  # one row per column
+        r[row["i"]] = [math.nan if row[f"r{j}"] is None else row[f"r{j}"] for j in range(d)]
+    r = (r + r.T) / 2
+    np.fill_diagonal(r, 1.0)
+    return r
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -29,9 +29,9 @@ def committee_predict(scored: DataFrame, out: str = "prediction") -> DataFrame:
 
 
 def soft_vote(members: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """Class with the larger mean probability; a tie goes to class 0."""
+    """Class with the larger mean probability; a tie, up to rounding of the means, goes to class 0."""
     mean = committee_average(members, id_col)
-    return mean.withColumn("prediction", F.when(F.col("p1") > F.col("p0"), F.lit(1)).otherwise(F.lit(0)))
+    return mean.withColumn("prediction", F.when(F.col("p1") - F.col("p0") > 1e-9, F.lit(1)).otherwise(F.lit(0)))
 
 
 def soft_vote_entropy(members: DataFrame, id_col: str = "row_id") -> DataFrame:

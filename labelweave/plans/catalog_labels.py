@@ -199,8 +199,7 @@ def g7(spark, d):
 )
 def g8(spark, d):
     vote = triage.soft_vote(members(spark, d))
-    rounded = vote.withColumns({c: F.round(F.col(c) + 1e-12, 9) for c in ("p0", "p1")})
-    return rounded.withColumn("prediction", F.when(F.col("p1") > F.col("p0"), F.lit(1)).otherwise(F.lit(0)))
+    return vote.withColumns({c: F.round(F.col(c) + 1e-12, 9) for c in ("p0", "p1")})
 
 
 @query(

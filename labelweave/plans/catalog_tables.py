@@ -278,7 +278,7 @@ def b9(spark, d):
 
 @query("b10_select_features", "SELECT o_orderkey, o_totalprice FROM orders")
 def b10(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return cleaning.select_features(table(spark, d, "orders"), ["o_totalprice"], ["o_orderkey"])
 
 
 @query(

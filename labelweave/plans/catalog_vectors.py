@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
-from labelweave.functions.vectors import points
+from labelweave.functions.vectors import points, with_vector
 from labelweave.operators import centres as cen
 from labelweave.operators import neighbours, propagation, radius, scoring, selection, splitting, triage, validity
 from labelweave.plans.catalog import query, table
@@ -55,13 +56,22 @@ def d1(spark, d):
     "d1_correl_selection",
     """
     WITH r AS (SELECT 'l_quantity' AS feature, corr(l_quantity, l_extendedprice) AS r FROM lineitem
+               UNION ALL SELECT 'net', corr(l_extendedprice * (1 - l_discount), l_extendedprice) FROM lineitem
+               UNION ALL SELECT 'per_unit', corr(l_extendedprice / l_quantity, l_extendedprice) FROM lineitem
                UNION ALL SELECT 'l_discount', corr(l_discount, l_extendedprice) FROM lineitem
                UNION ALL SELECT 'l_tax', corr(l_tax, l_extendedprice) FROM lineitem)
     SELECT feature, round(r, 6) AS r FROM r WHERE abs(r) > 0.05
     """,
 )
 def d1_selected(spark, d):
-    kept = selection.correl_selection(_returns(spark, d), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "same"])
+    rows = _returns(spark, d).withColumns(
+        {
+            "net": F.col("l_extendedprice") * (1 - F.col("l_discount")),
+            "per_unit": F.col("l_extendedprice") / F.col("l_quantity"),
+        }
+    )
+    features = ["l_quantity", "net", "per_unit", "l_discount", "l_tax", "same"]
+    kept = selection.correl_selection(rows, "l_extendedprice", features)
     return kept.withColumn("r", F.round("r", 6))
 
 
@@ -77,6 +87,42 @@ def d2(spark, d):
     return selection.corr_matrix(table(spark, d, "lineitem"), FEATURES).withColumn("r", F.round("r", 6))
 
 
+# Twelve columns with gaps: every third and every fifth kind of value is missing.
+GAPPED = {
+    f"{c}_{k}": f"CASE WHEN CAST(l_orderkey + l_linenumber AS BIGINT) % {k} = 0 THEN NULL ELSE {c} * {c} + {k} * l_tax END"
+    for c in FEATURES
+    for k in (3, 5, 7)
+}
+
+
+def _gapped(spark, d):
+    return table(spark, d, "lineitem").selectExpr("l_partkey", *[f"{e} AS {c}" for c, e in GAPPED.items()])
+
+
+def _gapped_sql(pairs):
+    columns = ", ".join(f"{e} AS {c}" for c, e in GAPPED.items())
+    rows = " UNION ALL ".join(pairs)
+    return f"WITH g AS (SELECT l_partkey, {columns} FROM lineitem) {rows}"
+
+
+@query(
+    "d1_corr_with_target_gaps",
+    _gapped_sql([f"SELECT '{c}' AS feature, round(corr({c}, l_partkey), 6) AS r FROM g" for c in GAPPED]),
+)
+def d1_gaps(spark, d):
+    return selection.corr_with_target(_gapped(spark, d), "l_partkey", list(GAPPED)).withColumn("r", F.round("r", 6))
+
+
+@query(
+    "d2_corr_matrix_gaps",
+    _gapped_sql(
+        f"""SELECT '{a}' AS "left", '{b}' AS "right", round(corr({a}, {b}), 6) AS r FROM g""" for a in GAPPED for b in GAPPED
+    ),
+)
+def d2_gaps(spark, d):
+    return selection.corr_matrix(_gapped(spark, d), list(GAPPED)).withColumn("r", F.round("r", 6))
+
+
 @query("d3_ols_pvalues")
 def d3(spark, d):
     return selection.ols_pvalues(_returns(spark, d), "Label", [*FEATURES, "same"])
@@ -89,9 +135,22 @@ def d4(spark, d):
     return spark.createDataFrame([(c,) for c in kept], "feature string")
 
 
-@query("d5_pca")
+@query(
+    "d5_pca",
+    """
+    SELECT count(*) AS n_rows, 0.0::DOUBLE AS mean_1, 0.0::DOUBLE AS mean_2, 0.0::DOUBLE AS correlated, true AS falling
+    FROM embeddings
+    """,
+)
 def d5(spark, d):
-    return selection.pca(embedded(spark, d), 2)
+    """Scores of the axes: centred, uncorrelated, of falling variance."""
+    axes = selection.pca(embedded(spark, d), 2).select(*[F.col("components")[i].alias(f"a{i}") for i in (0, 1)])
+    return axes.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        *[F.abs(F.round(F.avg(f"a{i}"), 9)).alias(f"mean_{i + 1}") for i in (0, 1)],
+        F.abs(F.round(F.corr("a0", "a1"), 6)).alias("correlated"),
+        (F.var_pop("a0") >= F.var_pop("a1")).alias("falling"),
+    )
 
 
 # ---------------------------------------------------------------- centres
@@ -104,8 +163,8 @@ CENTRES = """
 
 
 def _label_centres(rows):
-    means = rows.groupBy("cluster").agg(F.array(*[F.avg(F.col("features")[i]) for i in range(64)]).alias("m"))
-    return [r["m"] for r in means.orderBy("cluster").collect()]  # one row per class
+    means = with_vector(rows).groupBy("cluster").agg(Summarizer.mean(F.col("vector")).alias("m"))
+    return [[float(x) for x in r["m"]] for r in means.orderBy("cluster").collect()]  # one row per class
 
 
 @query(
@@ -146,14 +205,33 @@ def e4(spark, d):
     return propagation.propagate_from_centre(rows.select("row_id", "cluster", "Label"), exemplars)
 
 
-@query("e1_kmeans")
+@query(
+    "e1_kmeans",
+    "SELECT count(*) AS n_rows, CAST(10 AS BIGINT) AS n_clusters, CAST(0 AS BIGINT) AS n_not_nearest FROM embeddings",
+)
 def e1(spark, d):
-    return cen.kmeans(embedded(spark, d).select("row_id", "features"), 10).select("row_id", "cluster")
+    """Every row is in the cluster of its nearest centre."""
+    rows = embedded(spark, d).select("row_id", "features")
+    centres = cen.centres_of(cen.fit_kmeans(rows, 10))
+    found = cen.kmeans(rows, 10).join(cen.distance_to_centres(rows, centres), "row_id")
+    own = F.element_at("distances", F.col("cluster") + 1)
+    return found.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("cluster").alias("n_clusters"),
+        F.count_if(own > F.array_min("distances") + 1e-9).alias("n_not_nearest"),
+    )
 
 
-@query("e5_elbow")
+@query("e5_elbow", "SELECT CAST(8 AS BIGINT) AS n_k, CAST(0 AS BIGINT) AS n_worse_than_two, true AS last_is_least")
 def e5(spark, d):
-    return cen.elbow(embedded(spark, d), 2, 5)
+    """No number of clusters is worse than two, and the largest is the best."""
+    curve = cen.elbow(embedded(spark, d), 2, 9)
+    two = F.max(F.when(F.col("k") == 2, F.col("wcss")))
+    return curve.agg(
+        F.count(F.lit(1)).alias("n_k"),
+        (F.max("wcss") > two).cast("bigint").alias("n_worse_than_two"),
+        (F.max_by("wcss", "k") == F.min("wcss")).alias("last_is_least"),
+    )
 
 
 @query(
@@ -171,20 +249,35 @@ def e7(spark, d):
 # ---------------------------------------------------------------- validity
 
 
-@query(
-    "e6_silhouette",
-    f"""
+def _silhouette_sql(cluster: str) -> str:
+    return f"""
     WITH {EMBEDDED},
-    m AS (SELECT a.row_id, a.cluster AS own, b.cluster AS other, sum({L2}) AS total, count(*) AS n
+    m AS (SELECT a.row_id, a.{cluster} AS own, b.{cluster} AS other, sum({L2}) AS total, count(*) AS n
           FROM e a, e b GROUP BY ALL),
     ab AS (SELECT row_id, max(CASE WHEN own = other THEN total / (n - 1) END) AS a,
                   min(CASE WHEN own <> other THEN total / n END) AS b FROM m GROUP BY row_id)
     SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM ab
-    """,
-)
+    """
+
+
+def _silhouette(rows, **options):
+    return validity.silhouette(rows, **options).select(F.round("silhouette", 6).alias("silhouette"))
+
+
+@query("e6_silhouette", _silhouette_sql("cluster"))
 def e6(spark, d):
-    found = validity.silhouette(embedded(spark, d), sample=None)
-    return found.select(F.round("silhouette", 6).alias("silhouette"))
+    return _silhouette(embedded(spark, d))
+
+
+@query("e6_silhouette_tiles", _silhouette_sql("cluster"))
+def e6_tiles(spark, d):
+    """The way of tables too large to send to every task."""
+    return _silhouette(embedded(spark, d), broadcast_bytes=0)
+
+
+@query("e6_silhouette_many_clusters", _silhouette_sql("row_id % 50"))
+def e6_many(spark, d):
+    return _silhouette(embedded(spark, d).withColumn("cluster", (F.col("row_id") % 50).cast("int")))
 
 
 @query("e6_silhouette_mahalanobis")
@@ -312,6 +405,17 @@ def g2(spark, d):
     return scored.select("row_id", F.round("p0", 6).alias("p0"), F.round("p1", 6).alias("p1"))
 
 
+@query(
+    "g2_knn_blocks",
+    KNN.format(dist=L1, vote=BY_DISTANCE, k=10) + "SELECT row_id, round(1 - p1, 6) AS p0, round(p1, 6) AS p1 FROM votes",
+)
+def g2_blocks(spark, d):
+    """The way of pools too large to send to every task."""
+    pool, rest = pool_and_rest(spark, d)
+    scored = neighbours.knn_classify(rest, pool.withColumnRenamed("Label", "label"), 10, 1, "distance", broadcast_bytes=0)
+    return scored.select("row_id", F.round("p0", 6).alias("p0"), F.round("p1", 6).alias("p1"))
+
+
 @query(
     "g2_knn_uniform_weights",
     KNN.format(dist=L2, vote=UNIFORM, k=5) + "SELECT row_id, round(1 - p1, 6) AS p0, round(p1, 6) AS p1 FROM votes",

@@ -31,7 +31,7 @@ def scan_indexed_csv(spark: SparkSession, path: str, columns: Sequence[str] | No
     names = list(columns or csv_header(spark, path))
     names[0] = "row_id"
     df = spark.read.csv(path, header=True, schema=text_schema(names))
-    return df.withColumn("row_id", F.col("row_id").cast("double").cast("long"))
+    return df.withColumn("row_id", F.coalesce(F.col("row_id").try_cast("long"), F.col("row_id").cast("double").cast("long")))
 
 
 def union_sources(frames: dict[str, DataFrame], order: Sequence[str]) -> DataFrame:

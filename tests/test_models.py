@@ -121,3 +121,17 @@ def test_shared_folder_comes_from_the_session(spark):
     folder = shared_folder(spark)
     assert spark.conf.get("spark.checkpoint.dir") == folder
     assert scratch_path(spark, "x").startswith(folder)
+
+
+def test_a_pool_without_labels_is_refused(spark):
+    pool = spark.createDataFrame([(1, [0.0], None), (2, [1.0], None)], "row_id long, features array<double>, label int")
+    with pytest.raises(ValueError, match="no labelled rows"):
+        classifiers.fit(Member("forest", "forest"), pool)
+
+
+def test_the_margin_member_takes_the_side_of_the_plane(spark):
+    rows = [(k, [k / 50 + (k % 7) / 20], int(k > 40)) for k in range(60)]
+    pool = spark.createDataFrame(rows, "row_id long, features array<double>, label int")
+    fitted = classifiers.fit(Member("plane", "margin", {"C": 1.0}), pool)
+    both = fitted.margin(pool).join(fitted.score(pool), "row_id").collect()
+    assert all((r.dist > 0) == (r.p1 > 0.5) for r in both)

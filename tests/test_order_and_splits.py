@@ -97,3 +97,18 @@ def test_samples_are_exact(spark):
     )
     subsamples = splitting.repeated_subsamples(df, [(1, 10, 1), (1, 10, 2), (2, 40, 1)])
     assert sorted(r["count"] for r in subsamples.groupBy("fold", "size", "repeat").count().collect()) == [10, 10, 40]
+
+
+@pytest.mark.parametrize("partitions", [2000, 10000])
+def test_running_sums_at_cluster_settings(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = spark.createDataFrame([(k * 7 % 501, k) for k in range(501)], "place long, v long").coalesce(1)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        found = {r.place: r.total for r in prefix_sums(rows, "place", {"total": "v"}).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    values, total = {k * 7 % 501: k for k in range(501)}, 0
+    for place in sorted(values):
+        total += values[place]
+        assert found[place] == total
