@@ -114,7 +114,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
     n = rows.count()
     ranges = max(1, min(MAX_RANGES, math.ceil(n / ROWS_PER_RANGE)))
     fractions = [i / ranges for i in range(1, ranges)] or [0.5]
-    cuts = rows.agg(F.percentile_approx("at", fractions, 4 * ranges + 100)).first()[0] or []
+    cuts = rows.agg(F.percentile_approx("at", fractions, 4 * ranges + 100)).first()[0] or [0.0]
     splits = [-math.inf, *sorted(set(cuts)), math.inf]
     dealt = Bucketizer(splits=splits, inputCol="at", outputCol="cut", handleInvalid="keep").transform(rows)
     # Rows without an id come last, by their hash.

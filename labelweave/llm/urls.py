@@ -75,7 +75,7 @@ def node_of(url: Column) -> Column:
 
 def _attribute(tag: Column, name: str) -> Column:
     quoted = F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", 0)
-    return F.regexp_replace(quoted, r"(?is)^\w+\s*=\s*|[\"']", "")
+    return F.regexp_replace(quoted, r"(?is)^[\w-]+\s*=\s*|[\"']", "")
 
 
 def declared_links(pages: DataFrame) -> DataFrame:
