@@ -91,7 +91,7 @@ def prefix_sums(df: DataFrame, order: str, sums: dict[str, str], descending: boo
     """
     parts = min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     fractions = [i / parts for i in range(1, parts)] or [0.5]
-    cuts = df.agg(F.percentile_approx(order, fractions, 10000).alias("q")).first()["q"] or []
+    cuts = df.agg(F.percentile_approx(order, fractions, 10000).alias("q")).first()["q"] or [0.0]
     splits = [-math.inf, *sorted({float(c) for c in cuts}), math.inf]
     valued = df.withColumn("_order", F.col(order).cast("double"))
     cutter = Bucketizer(splits=splits, inputCol="_order", outputCol="_cut")
