@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from labelweave.functions.order import rank_by_key, shuffle_key
 from labelweave.functions.vectors import points, with_vector
-from labelweave.operators import classifiers, cleaning, density, splitting, triage, tuning
+from labelweave.operators import classifiers, cleaning, density, reporting, splitting, triage, tuning
 from labelweave.operators.blocks import distinct_points
 from labelweave.operators.classifiers import Member
 from labelweave.plans import loops
@@ -238,26 +238,48 @@ def g14(spark, d):
 
 # ---------------------------------------------------------------- loops
 
-REPORT = [
-    "ML_method", "Training_set", "N_Retrains", "Queries_to_Oracle", "F1", "Normal_traffic_label_err_rate_FPR",
-    "Botnet_label_err_rate_FNR", "Number_of_Samples_trained", "Precision", "Recall", "Number_of_Clusters",
-    "Cluster Noises", "Prob_1s",
-]
+def _report(outcomes):
+    """What the split, the sizes and the upkeep fix of the result rows of all folds; times and scores as checks."""
+    report = reporting.combine_results([o.report for o in outcomes])
+    rate = lambda c: F.coalesce(F.col(c).between(0, 1), F.lit(True))
+    return report.select(
+        "ML_method",
+        "Training_set",
+        "N_Retrains",
+        F.col("Number_of_Samples_trained").cast("bigint").alias("samples"),
+        (F.col("Tuning_Time") > 0).alias("tuned"),
+        (rate("F1") & rate("Precision") & rate("Recall")).alias("scored"),
+    )
 
 
-def _report(outcome):
-    """Result rows without the wall-clock columns."""
-    return outcome.report.select(*[F.col(f"`{c}`") for c in REPORT])
+def _report_sql(methods, table, init, batch, tuned=True, folds=3):
+    """Rows of every fold: three chunks, two of them to train on, batches of fixed shares."""
+    names = ", ".join(f"('{m}')" for m in methods)
+    return f"""
+    WITH RECURSIVE n AS (SELECT count(*) AS n FROM {table}),
+    folds(fold, test_chunk) AS (VALUES ('train_1', 3), ('train_2', 2), ('train_3', 1)),
+    t AS (SELECT fold, n - (n // 3 + CASE WHEN test_chunk <= n % 3 THEN 1 ELSE 0 END) AS rows FROM n, folds),
+    s AS (SELECT fold, rows, greatest(1, CAST(floor(rows * {init}) AS BIGINT)) AS init,
+                 greatest(1, CAST(floor(rows * {batch}) AS BIGINT)) AS size FROM t),
+    steps AS (SELECT fold, 1::BIGINT AS step, rows, size, least(init, rows) AS samples FROM s
+              UNION ALL SELECT fold, step + 1, rows, size, least(samples + size, rows) FROM steps WHERE samples < rows)
+    SELECT m AS ML_method, fold AS Training_set, step AS N_Retrains, samples, {str(tuned).lower()} AS tuned, true AS scored
+    FROM steps, (VALUES {names}) v(m) WHERE fold <= 'train_{folds}'
+    """
 
 
-def _train_test(rows, n_init: float, n_batch: float):
-    """Seeded train/test split (first fold of 3/2/1) and sizes as shares of the train rows."""
-    folds = materialise(splitting.split(rows, 3, 2, 1, seed=4), "folds").filter("fold = 1")
-    train = splitting.shuffle(folds.filter("role = 'train'").drop("ord", "chunk", "fold", "role"), 5)
-    test = folds.filter("role = 'test'").select("row_id", "features", "Label")
-    train, test = materialise(train, "train"), materialise(test, "test")
-    n = train.count()
-    return train, test, max(1, int(n * n_init)), max(1, int(n * n_batch))
+def _folds(rows, n_init: float, n_batch: float, wanted: int = 3):
+    """(name, train, test, size of the first batch, of the others) of the first folds of a seeded 3/2/1 split."""
+    folds = materialise(splitting.split(rows, 3, 2, 1, seed=4), "folds")
+    out = []
+    for fold in range(1, wanted + 1):
+        own = folds.filter(F.col("fold") == fold)
+        train = splitting.shuffle(own.filter("role = 'train'").drop("ord", "chunk", "fold", "role"), 5)
+        test = own.filter("role = 'test'").select("row_id", "features", "Label")
+        train, test = materialise(train, "train"), materialise(test, "test")
+        n = train.count()
+        out.append((f"train_{fold}", train, test, max(1, int(n * n_init)), max(1, int(n * n_batch))))
+    return out
 
 
 def _event_points(spark, d):
@@ -271,7 +293,7 @@ def _event_points(spark, d):
 
 @query("h6_triage_cluster_kmeans")
 def h6(spark, d):
-    train, _, init, _ = _train_test(_event_points(spark, d), 0.3, 0.5)
+    _, train, _, init, _ = _folds(_event_points(spark, d), 0.3, 0.5, 1)[0]
     batches = splitting.assign_batches(train, init, 10**9)
     pool = materialise(batches.filter("iteration = 1").withColumn("label", F.col("Label")), "init")
     fitted = classifiers.fit_committee([Member("logistic", "logistic")], pool)
@@ -281,34 +303,49 @@ def h6(spark, d):
     )
 
 
-@query("h10_self_active_loop")
+C_SETS = [{"C": c} for c in (0.1, 10.0)]
+
+
+@query("h10_self_active_loop", _report_sql(["knn", "logistic", "committee"], "embeddings", 0.5, 0.25, folds=1))
 def h10(spark, d):
-    train, test, init, size = _train_test(embedded(spark, d).drop("cluster"), 0.5, 0.25)
-    members = [Member("knn", "knn", {"k": 7}), Member("logistic", "logistic", {"max_iter": 20})]
+    members = [Member("knn", "knn", {"k": 7}), Member("logistic", "logistic")]
     labeller = loops.by_committee_and_density(density.Setting(3, 1), 0.6)
-    return _report(loops.self_active_loop(train, test, members, labeller, init, size))
+    upkeep = loops.Upkeep({"logistic": C_SETS}, store=scratch_path(spark, "outputs"))
+    rows = embedded(spark, d).drop("cluster")
+    return _report(
+        loops.self_active_loop(train, test, members, labeller, init, size, fold=fold, upkeep=upkeep)
+        for fold, train, test, init, size in _folds(rows, 0.5, 0.25, 1)
+    )
 
 
-@query("h10_self_active_loop_margin")
+@query("h10_self_active_loop_margin", _report_sql(["AL_SVM_C2H"], "events", 0.2, 0.4, tuned=False, folds=1))
 def h10_margin(spark, d):
-    train, test, init, size = _train_test(_event_points(spark, d), 0.2, 0.4)
-    members = [Member("AL_SVM_C2H", "margin", {"C": 10.0, "max_iter": 20})]
-    return _report(loops.self_active_loop(train, test, members, loops.by_margin(), init, size, "AL_SVM_C2H"))
+    members = [Member("AL_SVM_C2H", "margin", {"max_iter": 20})]
+    return _report(
+        loops.self_active_loop(train, test, members, loops.by_margin(), init, size, "AL_SVM_C2H", fold)
+        for fold, train, test, init, size in _folds(_event_points(spark, d), 0.2, 0.4, 1)
+    )
 
 
-@query("h11_active_loop_single_train")
+@query("h11_active_loop_single_train", _report_sql(["AL_RF_US"], "events", 0.2, 0.1, tuned=False))
 def h11(spark, d):
-    train, test, init, size = _train_test(_event_points(spark, d), 0.2, 0.1)
     members = [Member("AL_RF_US", "forest", {"n_trees": 20, "max_depth": 5})]
-    return _report(loops.single_train_loop(train, test, members, loops.by_probability(), init, size, "AL_RF_US"))
+    return _report(
+        loops.single_train_loop(train, test, members, loops.by_probability(), init, size, "AL_RF_US", fold)
+        for fold, train, test, init, size in _folds(_event_points(spark, d), 0.2, 0.1)
+    )
 
 
-@query("h12_two_stage_loop")
+@query("h12_two_stage_loop", _report_sql(["AL_LR_US"], "embeddings", 0.5, 0.5))
 def h12(spark, d):
-    train, test, init, size = _train_test(embedded(spark, d).drop("cluster"), 0.5, 0.5)
-    members = [Member("AL_LR_US", "logistic", {"max_iter": 20})]
+    """The initial stage asks the oracle, in one batch of all its rows."""
+    members = [Member("AL_LR_US", "logistic")]
+    upkeep = loops.Upkeep({"AL_LR_US": C_SETS})
+    rows = embedded(spark, d).drop("cluster")
     return _report(
         loops.two_stage_loop(
-            train, test, members, loops.by_probability(), density.Setting(3, 1), init, max(1, init // 2), size, method="AL_LR_US"
+            train, test, members, loops.by_probability(), density.Setting(3, 1), init, init, size, method="AL_LR_US",
+            fold=fold, upkeep=upkeep, ask_first=True,
         )
+        for fold, train, test, init, size in _folds(rows, 0.5, 0.5)
     )
