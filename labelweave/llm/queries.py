@@ -111,7 +111,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "op2_redirect_equivalence",
-    """
+    r"""
     WITH RECURSIVE rules(rule, rule_host, rule_path, decides) AS (
         VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
                ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
