@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from labelweave.llm.steps import text_of
 
 SPACE = "▁"
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 WORDS = re.compile(r" *[^ ]+| +$")
 GROUP_CHARS = 1 << 21
 

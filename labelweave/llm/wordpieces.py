@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_WORDS = 800_000  # bound of the words a worker process keeps
+CACHED_WORDS = 400_000  # bound of the words a worker process keeps
 BATCH_BYTES = 1 << 22
 MARK = "\x01"  # stands between new words; its bytes form an id of their own
 STOPS = ".,"
