@@ -244,7 +244,8 @@ def one_per_group(docs: DataFrame, words: int = 3) -> DataFrame:
     """The rows of ``docs`` without near copies: one row of each component, unchanged.
 
     It is the row with the smallest doc_id, null ids last, then with the
-    smallest text hash; of rows equal in both, one.
+    smallest text hash; of rows equal in both, one. Other columns pass, whatever
+    their names.
     """
     key = ["_unnamed", "_id", "_hash"]
     prints = saved(fingerprints(docs, words), "simhash-prints")
@@ -254,9 +255,10 @@ def one_per_group(docs: DataFrame, words: int = 3) -> DataFrame:
     best = grouped.groupBy("component").agg(F.min(F.struct(*key)).alias("best")).select("best.*")
     copies = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_copies"))
     best = saved(best.join(copies, key), "simhash-best")
-    marked = docs.select("*", *named, F.xxhash64(text_of("text")).alias("_hash"))
+    # All columns travel as one, so none can clash with the keys.
+    marked = docs.select(F.struct("*").alias("_row"), *named, F.xxhash64(text_of("text")).alias("_hash"))
     kept = marked.join(best.filter("_copies = 1"), key, "left_semi")
     repeated = best.filter("_copies > 1")
     if repeated.head(1):
         kept = kept.unionByName(marked.join(repeated, key, "left_semi").dropDuplicates(key))
-    return kept.select(*docs.columns)
+    return kept.select("_row.*")

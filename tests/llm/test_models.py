@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from labelweave.llm import ngrams, quality, toxicity
-from tests.llm.helpers import awkward, documents, empty, sentence
+from tests.llm.helpers import awkward, documents, empty, sentence, with_inner_names
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -140,3 +140,12 @@ def test_pipeline_stages_keep_the_columns_of_documents(spark, tmp_path):
     assert len(pairs) == len(set(pairs))
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in kept.collect()}
+
+
+def test_judged_passes_columns_of_any_name(spark):
+    docs = awkward(spark)
+    labels = spark.createDataFrame([(1, 1, 0), (3, 1, 0), (7, 1, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
+    found = quality.judged(with_inner_names(docs), labels)
+    plain = quality.judged(docs, labels)
+    assert sorted(map(str, found.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+    assert found.filter("_lang <> 'x' or _none <> 'x' or _row <> 'x'").count() == 0

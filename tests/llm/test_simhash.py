@@ -6,7 +6,7 @@ import xxhash
 
 from labelweave.llm import golay, simhash
 from labelweave.llm.components import connected_components
-from tests.llm.helpers import awkward, documents, empty, sentence
+from tests.llm.helpers import awkward, documents, empty, sentence, with_inner_names
 
 
 def brute_print(text):
@@ -117,3 +117,12 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert {r.node: r.component for r in found} == {k: 0 for k in range(201)} | {1000 + k: 1000 for k in range(300)}
     assert len(found) == 501
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_per_group_passes_columns_of_any_name(spark):
+    docs = awkward(spark)
+    kept = simhash.one_per_group(with_inner_names(docs))
+    assert kept.columns == with_inner_names(docs).columns
+    plain = simhash.one_per_group(docs)
+    assert sorted(map(str, kept.select(docs.columns).collect())) == sorted(map(str, plain.collect()))
+    assert kept.filter("_hash <> 'x' or _id <> 'x' or component <> 'x'").count() == 0
