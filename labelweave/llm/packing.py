@@ -77,6 +77,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> Da
                     rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total))
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=PIECE_NAMES)
+        encoder.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(run, PIECES)
 

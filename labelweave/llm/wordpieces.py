@@ -2,7 +2,7 @@
 
 Its normaliser and splitter never look across white space, so the ids of a text
 are those of its words in a row. Words repeat: a batch of texts is encoded by
-its distinct words, and each worker process keeps the words it has met.
+its distinct words, and each task keeps the words it has met.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_WORDS = 400_000  # bound of the words a worker process keeps
+CACHED_WORDS = 400_000  # bound of the words a task keeps
 BATCH_BYTES = 1 << 22
 MARK = "\x01"  # stands between new words; its bytes form an id of their own
 STOPS = ".,"
@@ -39,6 +39,11 @@ class WordEncoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
+    def forget(self) -> None:
+        """Give back the words and buffers, as the worker process goes on with other work."""
+        self.words = {}
+        pa.default_memory_pool().release_unused()
+
     def plain(self, text: str) -> bytes:
         ids = self.model.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
