@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD, GAP, BREAK = 0, 1, 2
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 5 << 20
 
 
 def byte_kinds(gaps: Iterable[int], breaks: Iterable[int] = ()) -> np.ndarray:
@@ -57,7 +57,8 @@ def _cuts(data: np.ndarray, begin: int, end: int, kinds: np.ndarray, cut_at: int
         if look >= end:
             return
         at = look + int(found[0]) + 1
-        yield at
+        if at < end:
+            yield at
 
 
 def words_of(texts: pa.Array, kinds: np.ndarray, cut_at: int = BREAK, size: int = GROUP_BYTES) -> Iterator[Words]:

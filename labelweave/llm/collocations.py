@@ -37,6 +37,7 @@ NO_LANG = "und"
 KINDS = byte_kinds(gaps=b" \t", breaks=b".,;:!?\n\x0b\x0c\r")
 HOT_SHARE = 1000  # a word of at least this part of all words is dealt on by the words behind it
 BUCKET_WORDS = 2_000_000
+HELD_WORDS = 400_000  # counts of words that a task keeps to merge them
 PATH_EDGES = 256  # of a path in one row
 END = 0  # code of the end mark
 
@@ -66,18 +67,29 @@ def _coded(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[list[tuple[str, b
 def vocabulary(docs: DataFrame, seed: int = 0) -> DataFrame:
     """(code, lang, word, n) of all words; lower-cased A-Z only, a null text has none, a null lang counts as ``und``."""
 
+    names = ["code", "lang", "word", "n"]
+
+    def merged(parts: list[pa.Table]) -> pa.Table:
+        found = pa.concat_tables(parts).group_by(names[:3]).aggregate([("n", "sum")])
+        return found.select([*names[:3], "n_sum"]).rename_columns(names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for batch in batches:
-            for names, codes, ids, _ in _coded(batch, seed):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(codes.view(np.int64)),
-                        pa.array([x for x, _ in names], pa.string()),
-                        pa.array([w for _, w in names], pa.binary()).cast(pa.string(), safe=False),
-                        pa.array(np.bincount(ids, minlength=len(codes)).astype(np.int64)),
-                    ],
-                    names=["code", "lang", "word", "n"],
-                )
+            for pairs, codes, ids, _ in _coded(batch, seed):
+                columns = [
+                    pa.array(codes.view(np.int64)),
+                    pa.array([x for x, _ in pairs], pa.string()),
+                    pa.array([w for _, w in pairs], pa.binary()).cast(pa.string(), safe=False),
+                    pa.array(np.bincount(ids, minlength=len(codes)).astype(np.int64)),
+                ]
+                held.append(pa.Table.from_arrays(columns, names=names))
+                if sum(map(len, held)) > HELD_WORDS:
+                    held = [merged(held)]
+                    if len(held[0]) > HELD_WORDS // 2:
+                        yield from held.pop().to_batches(HELD_WORDS // 8)
+        if held:
+            yield from merged(held).to_batches(HELD_WORDS // 8)
 
     rows = _with_lang(docs).mapInArrow(run, "code long, lang string, word string, n long")
     # Tasks have counted already; dealt by code, one exchange serves both the sums and the proof that codes are distinct.
