@@ -32,7 +32,7 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 SEED = 13
 GROUP_SHARDS = 1024  # shards whose draws are summed together
-LINE_ROWS, MAX_LINES = 20_000, 1 << 16
+LINE_ROWS, MAX_LINES = 1_000, 1 << 16
 MAX_SOURCES = 100_000  # the driver plans one target for each, and a shard draws one number for each
 WORDS = r"[^\x20\x09-\x0D]+"
 
