@@ -1,8 +1,9 @@
 """Rows within a radius of each other, and clusters grown from them.
 
-Copies of a vector are one weighted point. Tasks see one bounded block pair
-each and pass on counts or a spanning forest of what is connected inside the
-pair, so no step ever lists all pairs of a crowded neighbourhood.
+Copies of a vector are one weighted point. In up to three dimensions a grid
+decides most pairs by boxes (see ``grid``). In more, tasks see one bounded
+block pair each and pass on counts or a spanning forest of what is connected
+inside the pair, so no step ever lists all pairs of a crowded neighbourhood.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from labelweave.functions.order import prefix_sums
 from labelweave.functions.vectors import distances, stack
+from labelweave.operators import grid
 from labelweave.operators.blocks import build_index, distinct_points, tiles
 from labelweave.operators.forest import connected_components
 from labelweave.session import materialise
@@ -44,9 +46,9 @@ def radius_graph(points: DataFrame, radius: float, p: int = 2) -> tuple[DataFram
         row, col = np.nonzero(near & (ids[:, None] < ids[None, :]))
         return pd.DataFrame({"src": ids[row], "dst": ids[col], "dist": d[row, col]})
 
-    index = build_index(vectors, p)
-    spread = tiles(vectors, index, radius)
-    edges = spread.groupBy("low", "high").applyInPandas(pairs, "src bigint, dst bigint, dist double")
+    d = grid.fits(vectors, radius)
+    spread = None if d else tiles(vectors, build_index(vectors, p), radius)
+    edges = grid.radius_pairs(vectors, radius, p, d) if d else spread.groupBy("low", "high").applyInPandas(pairs, "src bigint, dst bigint, dist double")
     named = vectors.select("features", F.col("row_id").alias("point"), "weight")
     members = points.join(named, "features").select("row_id", "point", "weight")
     return edges, members
@@ -55,7 +57,8 @@ def radius_graph(points: DataFrame, radius: float, p: int = 2) -> tuple[DataFram
 def radius_counts(points: DataFrame, radius: float, p: int = 2) -> DataFrame:
     """(row_id, n_near): rows within the radius, the row itself included."""
     vectors = materialise(distinct_points(points), "vectors")
-    counted = _count_near(vectors, build_index(vectors, p), radius, p)
+    d = grid.fits(vectors, radius)
+    counted = grid.radius_counts(vectors, radius, p, d) if d else _count_near(vectors, build_index(vectors, p), radius, p)
     near = vectors.join(counted, "row_id").select("features", "n_near")
     return points.join(near, "features").select("row_id", "n_near")
 
@@ -76,9 +79,12 @@ def _link(tile: pd.DataFrame, radius: float, p: int) -> pd.DataFrame:
     ids, core = tile["row_id"].to_numpy(), tile["core"].to_numpy()
     label = np.where(core, ids, np.iinfo(np.int64).max)
     links = near & core[:, None] & core[None, :]
+    at = np.argsort(ids)
     while True:
         reach = np.where(links, label[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
         lower = np.where(core, np.minimum(label, reach), label)
+        # A row's label is the id of a core row of its part: jump on to that row's own label.
+        lower[core] = np.minimum(lower[core], lower[at[np.searchsorted(ids[at], lower[core])]])
         if (lower == label).all():
             break
         label = lower
@@ -89,14 +95,8 @@ def _link(tile: pd.DataFrame, radius: float, p: int) -> pd.DataFrame:
     return pd.concat([joined.assign(kind="core"), border.assign(kind="border")])
 
 
-def dbscan(points: DataFrame, eps: float = 0.5, min_pts: int = 10, p: int = 2) -> DataFrame:
-    """(row_id, cluster, core): density clusters, noise is -1.
-
-    A row is core when at least ``min_pts`` rows (itself included) lie within
-    ``eps``. Clusters are numbered by their first core row; a border row joins
-    the first of the clusters that reach it.
-    """
-    vectors = materialise(distinct_points(points), "vectors")
+def _dbscan_blocks(vectors: DataFrame, eps: float, min_pts: int, p: int) -> DataFrame:
+    """(row_id, component, core) of distinct vectors in any number of dimensions; see ``grid.dbscan``."""
     index = build_index(vectors, p)
     counted = _count_near(vectors, index, eps, p).withColumn("core", F.col("n_near") >= min_pts)
     flagged = materialise(vectors.join(counted.select("row_id", "core"), "row_id"), "flagged")
@@ -114,12 +114,25 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_pts: int = 10, p: int = 2) -
     cores = materialise(cores, "cores")
     reached = links.filter("kind = 'border'").join(cores.withColumnRenamed("row_id", "b"), "b")
     borders = reached.groupBy(F.col("a").alias("row_id")).agg(F.min("component").alias("component"))
+    return flagged.select("row_id", "core").join(cores.unionByName(borders), "row_id", "left")
+
+
+def dbscan(points: DataFrame, eps: float = 0.5, min_pts: int = 10, p: int = 2) -> DataFrame:
+    """(row_id, cluster, core): density clusters, noise is -1.
+
+    A row is core when at least ``min_pts`` rows (itself included) lie within
+    ``eps``. Clusters are numbered by their first core row; a border row joins
+    the first of the clusters that reach it.
+    """
+    vectors = materialise(distinct_points(points), "vectors")
+    d = grid.fits(vectors, eps)
+    found = grid.dbscan(vectors, eps, min_pts, p, d) if d else _dbscan_blocks(vectors, eps, min_pts, p)
+    found = materialise(found, "components")
+    cores = found.filter("core")
     firsts = cores.groupBy("component").agg(F.lit(1).alias("_one"))
     numbers = prefix_sums(firsts, "component", {"_number": "_one"}).select(
         "component", (F.col("_number") - 1).cast("int").alias("cluster")
     )
-    labelled = cores.unionByName(borders).join(numbers, "component").select("row_id", "cluster")
-    named = flagged.join(labelled, "row_id", "left").select(
-        "features", F.coalesce("cluster", F.lit(-1)).alias("cluster"), "core"
-    )
+    labelled = found.join(numbers, "component", "left").join(vectors.select("row_id", "features"), "row_id")
+    named = labelled.select("features", F.coalesce("cluster", F.lit(-1)).alias("cluster"), "core")
     return points.join(named, "features").select("row_id", "cluster", "core")

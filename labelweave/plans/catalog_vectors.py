@@ -9,6 +9,7 @@ from labelweave.functions.vectors import points, with_vector
 from labelweave.operators import centres as cen
 from labelweave.operators import neighbours, propagation, radius, scoring, selection, splitting, triage, validity
 from labelweave.plans.catalog import query, table
+from labelweave.session import materialise
 
 EMBEDDED = """
     e AS (SELECT vec_id AS row_id, embedding::DOUBLE[] AS features, label AS cluster,
@@ -234,16 +235,73 @@ def e5(spark, d):
     )
 
 
+SEEDED_K = range(2, 7)
+# Clusters that SQL can repeat: the nearest of the first k vectors.
+SILHOUETTES = f"""
+    WITH {EMBEDDED},
+    seeds AS (SELECT row_number() OVER (ORDER BY row_id) AS c, features FROM e QUALIFY c <= {max(SEEDED_K)}),
+    gaps AS (SELECT a.row_id, b.c, {L2} AS dist FROM e a, seeds b),
+    own AS (SELECT k, row_id, arg_min(c, row(dist, c)) AS cluster FROM gaps, (SELECT unnest(range({min(SEEDED_K)}, {max(SEEDED_K) + 1})) AS k)
+            WHERE c <= k GROUP BY k, row_id),
+    d AS (SELECT a.row_id AS x, b.row_id AS y, {L2} AS dist FROM e a, e b),
+    m AS (SELECT s.k, x, s.cluster AS own, t.cluster AS other, sum(dist) AS total, count(*) AS n
+          FROM d JOIN own s ON s.row_id = x JOIN own t ON t.row_id = y AND t.k = s.k GROUP BY ALL),
+    ab AS (SELECT k, x, max(CASE WHEN own = other THEN n END) AS own_n, max(CASE WHEN own = other AND n > 1 THEN total / (n - 1) END) AS a,
+                  min(CASE WHEN own <> other THEN total / n END) AS b FROM m GROUP BY k, x),
+    s AS (SELECT CAST(k AS INTEGER) AS k, avg(CASE WHEN own_n = 1 THEN 0 ELSE coalesce((b - a) / greatest(a, b), 0) END) AS silhouette
+          FROM ab GROUP BY k)
+"""
+
+
+def _seeded(spark, d):
+    rows = embedded(spark, d).select("row_id", "features")
+    seeds = [r["features"] for r in rows.orderBy("row_id").limit(max(SEEDED_K)).collect()]
+    return cen.assign_each(rows, [seeds[:k] for k in SEEDED_K])
+
+
+def _scores(found, ks):
+    k = F.element_at(F.array(*[F.lit(x) for x in ks]), F.col("place") + 1)
+    return found.select(k.alias("k"), "silhouette")
+
+
+@query("e7_silhouette_over_k", SILHOUETTES + "SELECT k, round(silhouette, 6) AS silhouette FROM s")
+def e7_scores(spark, d):
+    """The silhouettes of five clusterings from one pass over the distances."""
+    scores = _scores(validity.silhouettes(_seeded(spark, d)), SEEDED_K)
+    return scores.select("k", F.round("silhouette", 6).alias("silhouette"))
+
+
+@query("e7_silhouette_over_k_tiles", SILHOUETTES + "SELECT k, round(silhouette, 6) AS silhouette FROM s")
+def e7_tiles(spark, d):
+    """The way of tables too large to send to every task."""
+    scores = _scores(validity.silhouettes(_seeded(spark, d), broadcast_bytes=0), SEEDED_K)
+    return scores.select("k", F.round("silhouette", 6).alias("silhouette"))
+
+
+@query("e7_best_k", SILHOUETTES + "SELECT max_by(k, row(silhouette, -k)) AS best_k FROM s")
+def e7(spark, d):
+    scores = _scores(validity.silhouettes(_seeded(spark, d)), SEEDED_K)
+    return cen.best_k(scores.withColumnRenamed("silhouette", "score"))
+
+
 @query(
-    "e7_best_k",
-    """
-    SELECT CAST(max_by(k, s) AS INTEGER) AS best_k FROM (
-        SELECT p_size AS k, row(avg(p_retailprice), -p_size) AS s FROM part GROUP BY p_size)
-    """,
+    "e7_kmeans_best_k",
+    "SELECT CAST(8 AS BIGINT) AS n_k, CAST(0 AS BIGINT) AS n_outside, true AS first_best, true AS falling FROM embeddings LIMIT 1",
 )
-def e7(spark, d):
-    scores = table(spark, d, "part").groupBy(F.col("p_size").alias("k")).agg(F.avg("p_retailprice").alias("score"))
-    return cen.best_k(scores)
+def e7_kmeans(spark, d):
+    """Mahalanobis silhouettes of nested k-means over eight k, and the first best of them."""
+    rows = embedded(spark, d).select("row_id", "features")
+    found = cen.nested_kmeans(rows, 2, 9)
+    ks = sorted(found)
+    clustered = cen.assign_each(rows, [found[k][0] for k in ks])
+    scores = materialise(_scores(validity.silhouettes(clustered, "mahalanobis"), ks), "silhouettes")
+    best = cen.best_k(scores.withColumnRenamed("silhouette", "score")).select("best_k")
+    costs = [found[k][1] for k in ks]
+    top = scores.agg(F.max("silhouette").alias("top"))
+    firsts = scores.join(top, F.col("silhouette") == F.col("top")).agg(F.min("k").alias("first"))
+    return scores.agg(F.count(F.lit(1)).alias("n_k"), F.count_if(~F.col("silhouette").between(-1, 1)).alias("n_outside")).select(
+        "n_k", "n_outside", (firsts.scalar() == best.scalar()).alias("first_best"), F.lit(all(a >= b for a, b in zip(costs, costs[1:]))).alias("falling")
+    )
 
 
 # ---------------------------------------------------------------- validity

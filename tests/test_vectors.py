@@ -4,7 +4,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from labelweave.functions.vectors import with_vector
-from labelweave.operators import centres, forest, merge_tree, neighbours, radius, selection, validity
+from labelweave.operators import blocks, centres, forest, grid, merge_tree, neighbours, radius, selection, validity
 
 SCHEMA = "row_id bigint, features array<double>"
 
@@ -60,6 +60,98 @@ def test_radius_counts_and_graph(spark, cloud):
     assert edges.count() < 3 * len(cloud) * 25
 
 
+@pytest.mark.parametrize("p", [1, 2])
+def test_index_loses_no_near_pair(spark, cloud, p):
+    df = frame(spark, cloud)
+    index = blocks.build_index(df, p, 16)
+    placed = index.own_block(df)
+    assert placed.groupBy("block").count().agg(F.max("count")).first()[0] <= 40
+    near = index.near_blocks(placed, F.lit(0.5)).select("row_id", "other")
+    met = near.join(placed.select(F.col("row_id").alias("y"), F.col("block").alias("other")), "other")
+    met = {(r["row_id"], r["y"]) for r in met.collect()}
+    d = pairwise(cloud, p)
+    assert {(int(a), int(b)) for a, b in np.argwhere(d <= 0.5)} <= met
+    assert len(met) < 0.7 * len(cloud) ** 2
+    assert index.diameter() >= d.max()
+
+
+def clustered_unit_vectors(n, seed=3, per_cluster=250, dimensions=16):
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(size=(n // per_cluster, dimensions))
+    middles /= np.linalg.norm(middles, axis=1, keepdims=True)
+    x = np.repeat(middles, per_cluster, axis=0) + rng.normal(scale=0.02, size=(n, dimensions))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_copies_per_row_do_not_grow_with_the_table(spark):
+    copies = []
+    for n in (2000, 8000):
+        df = frame(spark, clustered_unit_vectors(n))
+        index = blocks.build_index(df, 2, 256)
+        copies.append(index.near_blocks(df, F.lit(0.1)).count() / n)
+        assert index.n_blocks >= n / 512
+    assert copies[1] < 1.5 * copies[0] < 1.5 * 8
+
+
+def test_no_rows_have_an_index(spark):
+    df = frame(spark, np.zeros((0, 2)))
+    assert radius.radius_counts(df, 1.0).count() == 0
+    assert radius.dbscan(df, 1.0, 3).count() == 0
+    assert blocks.tiles(df, blocks.build_index(df, 2), 1.0).count() == 0
+
+
+def planar(seed, d=2, crowd=300):
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(0, 0.02, (crowd, d)), rng.uniform(-2, 2, (200, d)), rng.normal(1, 0.3, (80, d)), np.round(rng.uniform(-1, 1, (80, d)), 1)])
+    return x[rng.permutation(len(x))]
+
+
+@pytest.mark.parametrize("d, p", [(1, 2), (2, 2), (2, 1), (3, 2)])
+def test_grid_counts_and_pairs(spark, monkeypatch, d, p):
+    monkeypatch.setattr(grid, "PART_ROWS", 32)
+    x = planar(d, d)
+    df, dist = frame(spark, x), pairwise(x, p)
+    for eps in (0.1, 0.37):
+        assert grid.fits(df, eps) == d
+        got = {r["row_id"]: r["n_near"] for r in radius.radius_counts(df, eps, p).collect()}
+        assert got == {i: int((dist[i] <= eps).sum()) for i in range(len(x))}
+    edges, members = radius.radius_graph(df, 0.1, p)
+    point = {r["row_id"]: r["point"] for r in members.collect()}
+    found = {(r["src"], r["dst"]): r["dist"] for r in edges.collect()}
+    for a, b in np.argwhere(dist <= 0.1):
+        if point[a] < point[b]:
+            assert found.pop((point[a], point[b]), dist[a, b]) == pytest.approx(dist[a, b])
+    assert not [k for k in found if k[0] not in set(point.values())]
+
+
+@pytest.mark.parametrize("eps, min_pts", [(0.1, 5), (0.3, 8), (0.05, 2), (1.0, 40)])
+def test_grid_clusters_equal_brute_force_and_blocks(spark, eps, min_pts):
+    x = planar(5)
+    labels, core = brute_dbscan(x, eps, min_pts)
+    df = frame(spark, x)
+    got = radius.dbscan(df, eps, min_pts).orderBy("row_id").collect()
+    assert [r["core"] for r in got] == list(core)
+    assert [r["cluster"] for r in got] == list(labels)
+    vectors = blocks.distinct_points(df)
+    ways = [grid.dbscan(vectors, eps, min_pts, 2, 2), radius._dbscan_blocks(vectors, eps, min_pts, 2)]
+    ways = [sorted(map(str, w.select("row_id", "component", "core").collect())) for w in ways]
+    assert ways[0] == ways[1]
+
+
+def test_crowded_cells_make_no_pairs(spark):
+    """Rows that the grid joins to a crowd stay linear in the crowd."""
+    made = []
+    for crowd in (1000, 4000):
+        vectors = blocks.distinct_points(frame(spark, planar(1, 2, crowd)))
+        held = grid.Grid(vectors, 0.5, 2, 2)
+        cells = held.cells(held.rows)
+        sparse = cells.filter("w < 20")
+        pairs = held.pairs(sparse, cells)
+        met = held.against_boxes(held.rows.join(sparse.select("cell"), "cell", "left_semi").drop("weight"), pairs).filter("not sure")
+        made.append(held.against_rows(met.select("row_id", "other", "other_n", "x0", "x1"), held.rows, ["weight"]).count())
+    assert made[1] < 5 * made[0] + 4000
+
+
 def brute_dbscan(x, eps, min_pts):
     near = pairwise(x) <= eps
     core = near.sum(1) >= min_pts
@@ -161,11 +253,28 @@ def test_silhouette_and_dispersion(spark, cloud):
     assert validity.calinski_harabasz(df).first()[0] == pytest.approx(between / within)
 
 
+def test_silhouettes_of_many_clusterings_at_once(spark, cloud):
+    ways = [(cloud[:, 0] > 1.0).astype(int), np.arange(len(cloud)) % 7, np.zeros(len(cloud), int), np.arange(len(cloud)), np.arange(len(cloud)) // 30 * 5 - 3]
+    rows = [(i, [float(v) for v in x], [int(w[i]) for w in ways]) for i, x in enumerate(cloud)]
+    df = spark.createDataFrame(rows, SCHEMA + ", clusters array<int>")
+    for options in ({}, {"broadcast_bytes": 0, "rows": 16}, {"metric": "mahalanobis"}):
+        got = {r["place"]: r["silhouette"] for r in validity.silhouettes(df, **options).collect()}
+        for place in range(len(ways)):
+            one = df.select("row_id", "features", F.col("clusters")[place].alias("cluster"))
+            assert got[place] == pytest.approx(validity.silhouette(one, metric=options.get("metric", "euclidean")).first()[0])
+    assert validity.silhouettes(df.limit(0)).count() == 0
+
+
 def test_kmeans_elbow_and_exemplars(spark, cloud):
     df = frame(spark, cloud)
     assert centres.kmeans(df, 4).select("cluster").distinct().count() == 4
-    costs = [r["wcss"] for r in centres.elbow(df, 2, 4).orderBy("k").collect()]
-    assert costs[0] > costs[-1] > 0
+    costs = [r["wcss"] for r in centres.elbow(df, 2, 9).orderBy("k").collect()]
+    assert len(costs) == 8 and all(a >= b > 0 for a, b in zip(costs, costs[1:]))
+    for k, (held, cost) in centres.nested_kmeans(df, 3, 4).items():
+        gaps = ((cloud[:, None] - held[None]) ** 2).sum(2).min(axis=1)
+        assert len(held) == k and gaps.sum() == pytest.approx(cost)
+    assert centres.nested_kmeans(frame(spark, cloud[:0]), 2, 3) == {}
+    assert centres.elbow(frame(spark, np.ones((5, 2))), 2, 3).agg(F.max("wcss")).first()[0] == 0
     held = [[0.0, 0.0, 0.0], [1.0, 1.0, 1.0]]
     d = pairwise(np.concatenate([np.array(held), cloud]))[:2, 2:]
     got = {r["cluster"]: r["row_id"] for r in centres.nearest_row_to_centre(df, held).collect()}
