@@ -1,66 +1,106 @@
 """Interpolated modified Kneser-Ney models of character n-grams.
 
-Characters are read as one of 32 symbols, so an n-gram of order 4 is a number
-below 2 ** 20. Tasks count n-grams in arrays of that size and pass on sums;
-count tables are sharded by n-gram and joined with the totals of their
-contexts, order by order. A finished model has at most 2 ** 20 entries per
-order whatever the corpus, which is the bound of what is sent to all tasks.
+Characters are read as their UTF-16 units, none reduced, so an n-gram of order
+4 is an exact 64-bit number. A model is a set of tables that grow with the
+text it is trained on: for each order the probabilities of the n-grams seen and
+what each context leaves to the order below. Counts are joined with context
+totals, and an order with the one below, shard by shard.
+
+Texts are scored by the log-probabilities of their n-grams. The most frequent
+ones, at most ``HEAD`` of them, are broadcast; the n-grams of texts that are not
+among them, seen or unseen, are counted for each text and joined to the model's
+tables. Both ways give the same numbers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BITS = 5
-SYMBOLS = 1 << BITS
-ORDER = 4
-BLOCK = 1 << 20  # characters looked at together
-
-
-@lru_cache(maxsize=1)
-def _symbol_table() -> np.ndarray:
-    """Symbol of each code point below 2 ** 16; code points above count as the last one.
-
-    White space, the letters a to z, digits, other letters (two symbols by
-    parity), and everything else (two by parity).
-    """
-    table = np.empty(1 << 16, np.uint8)
-    for point in range(1 << 16):
-        char = chr(point)
-        if "a" <= char <= "z":
-            table[point] = 1 + ord(char) - ord("a")
-        elif char.isspace():
-            table[point] = 0
-        elif char.isdigit():
-            table[point] = 27
-        else:
-            table[point] = (28 if char.isalpha() else 30) + point % 2
-    return table
+from labelweave.llm.steps import saved, text_of
 
-
-def codes(text: str, order: int = ORDER) -> Iterator[np.ndarray]:
-    """The n-gram that ends at each character, in blocks; texts begin after white space."""
-    table, before = _symbol_table(), np.zeros(order - 1, np.uint8)
-    text = text.lower()
-    for begin in range(0, len(text), BLOCK):
-        points = np.frombuffer(text[begin : begin + BLOCK].encode("utf-32-le", "surrogatepass"), "<u4")
-        padded = np.concatenate([before, table[np.minimum(points, 0xFFFF)]])
-        before = padded[len(padded) - (order - 1) :]
-        out = np.zeros(len(points), np.int32)
-        for k in range(order):
-            out = (out << BITS) | padded[k : k + len(points)]
-        yield out
-
-
-def counts(docs: DataFrame, group: Column, order: int = ORDER) -> DataFrame:
+ORDER = 4
+UNIT = 16  # bits of a character
+GROUP_UNITS = 1 << 20  # characters looked at together
+HEAD = 1 << 19  # most n-grams of each model that are broadcast
+HELD_GRAMS = 400_000  # counts that a task keeps to merge them
+UNSEEN = 2.0**-UNIT  # probability of a character before anything is known
+TEXT_KEY = ["_key1", "_key2"]
+
+
+def with_text_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with two 64-bit hashes of the text, by which equal texts are known; a null text counts as empty."""
+    text = text_of("text")
+    return docs.withColumns({"_key1": F.xxhash64(text), "_key2": F.xxhash64(F.lit(1), text)})
+
+
+def grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, n-gram) of every character of lower-cased texts, some at a time; texts begin after white space."""
+    blank = np.full(ORDER - 1, ord(" "), "<u2")
+    held, rows, size = [], [], 0
+    for row, text in enumerate(texts):
+        units = np.frombuffer((text.as_py() or "").lower().encode("utf-16-le", "surrogatepass"), "<u2")
+        before = blank
+        for at in range(0, len(units), GROUP_UNITS):
+            part = units[at : at + GROUP_UNITS]
+            held += [before, part]
+            rows.append((row, len(part)))
+            before = part[len(part) - (ORDER - 1) :] if len(part) >= ORDER - 1 else blank
+            size += len(part)
+            if size >= GROUP_UNITS:
+                yield _codes(held, rows)
+                held, rows, size = [], [], 0
+    if rows:
+        yield _codes(held, rows)
+
+
+def _codes(held: list[np.ndarray], rows: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    units = np.concatenate(held).astype(np.uint64)
+    code = np.zeros(len(units), np.uint64)
+    for k in range(ORDER):
+        code[k:] |= units[: len(units) - k] << np.uint64(UNIT * k)
+    sizes = np.array([n for _, n in rows])
+    real = np.ones(len(units), bool)
+    pads = np.cumsum(sizes + ORDER - 1) - sizes - (ORDER - 1)
+    for k in range(ORDER - 1):
+        real[pads + k] = False
+    return np.repeat(np.array([r for r, _ in rows]), sizes), code[real]
+
+
+class _Sums:
+    """Counts by (model, n-gram), merged as they come."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, model: np.ndarray, code: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((model, code, n))
+        self.size += len(code)
+
+    def merge(self) -> None:
+        model, code, n = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((code, model))
+        model, code, n = model[order], code[order], n[order]
+        first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (model[1:] != model[:-1])])
+        self.parts = [(model[first], code[first], np.add.reduceat(n, first))]
+        self.size = len(first)
+
+    def batch(self) -> pa.RecordBatch:
+        self.merge()
+        model, code, n = self.parts[0]
+        self.parts, self.size = [], 0
+        arrays = [pa.array(model.astype(np.int32)), pa.array(code.view(np.int64)), pa.array(n.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(arrays, names=["model", "code", "n"])
+
+
+def counts(docs: DataFrame, group: Column) -> DataFrame:
     """(model, code, n): how often each n-gram occurs in the texts of each group.
 
     ``group`` gives a small number of integer groups; rows with a null group
@@ -68,42 +108,23 @@ def counts(docs: DataFrame, group: Column, order: int = ORDER) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
+        held = _Sums()
         for batch in batches:
-            for model, text in zip(batch.column("model").to_pylist(), batch.column("text")):
-                sums = found.setdefault(model, np.zeros(SYMBOLS**order, np.int64))
-                for some in codes(text.as_py() or "", order):
-                    if len(some) > 1 << 15:
-                        sums += np.bincount(some, minlength=len(sums))
-                    else:
-                        np.add.at(sums, some, 1)
-        for model, sums in found.items():
-            code = np.flatnonzero(sums)
-            columns = [pa.array(np.full(len(code), model, np.int32)), pa.array(code.astype(np.int32)), pa.array(sums[code])]
-            yield pa.RecordBatch.from_arrays(columns, names=["model", "code", "n"])
-
-    rows = docs.select(group.cast("int").alias("model"), "text").filter("model is not null")
-    return rows.mapInArrow(run, "model int, code int, n long").groupBy("model", "code").agg(F.sum("n").alias("n"))
-
-
-def _level(rows: DataFrame) -> tuple[pa.Table, pa.Table]:
-    """Discounted probabilities (model, code, p) and what each context (model, context, rest) leaves to the lower order."""
-    of_counts = rows.filter("n <= 4").groupBy("model", "n").agg(F.count(F.lit(1)).alias("of"))
-    few: dict[int, dict[int, int]] = {}
-    for row in of_counts.collect():
-        few.setdefault(row["model"], {})[row["n"]] = row["of"]
-    discount = F.lit(0.0)
-    for model, of in few.items():
-        d = discounts([of.get(k, 0) for k in (1, 2, 3, 4)])
-        own = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        discount = F.when(F.col("model") == model, own).otherwise(discount)
-    marked = rows.withColumn("context", F.shiftright("code", BITS)).withColumn("d", discount)
-    contexts = marked.groupBy("model", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("rest"))
-    seen = marked.join(contexts.drop("rest"), ["model", "context"])
-    return (
-        seen.select("model", "code", ((F.col("n") - F.col("d")) / F.col("total")).alias("p")).toArrow(),
-        contexts.select("model", "context", (F.col("rest") / F.col("total")).alias("rest")).toArrow(),
-    )
+            model = batch.column("model").to_numpy(zero_copy_only=False)
+            for row, code in grams(batch.column("text")):
+                of = model[row]
+                for m in np.unique(of):
+                    found, n = np.unique(code[of == m], return_counts=True)
+                    held.add(np.full(len(found), m), found, n)
+                if held.size > HELD_GRAMS:
+                    held.merge()
+                    if held.size > HELD_GRAMS // 2:
+                        yield held.batch()
+        if held.size:
+            yield held.batch()
+
+    rows = docs.select(group.cast("int").alias("model"), F.col("text").cast("string").alias("text")).filter("model is not null")
+    return rows.mapInArrow(run, "model int, code long, n long").groupBy("model", "code").agg(F.sum("n").alias("n"))
 
 
 def discounts(of: list[int]) -> list[float]:
@@ -119,58 +140,147 @@ def discounts(of: list[int]) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), found)]
 
 
-def log_probabilities(top: DataFrame, order: int = ORDER) -> dict[int, np.ndarray]:
-    """For each model of a ``counts`` table the log-probability of every n-gram, as an array.
+def _last(code: Column, k: int) -> Column:
+    """The last ``k`` characters of an n-gram of any higher order."""
+    return code.bitwiseAND(F.lit((1 << (UNIT * k)) - 1)) if k < ORDER else code
+
 
-    Counts of the highest order are those of each model. The orders below count
-    in how many different n-grams of the order above a shorter one is an end;
-    they take all models together, so that all of them back off to the same
-    distribution. Without any counts the result is empty.
+def _context(code: Column) -> Column:
+    return F.shiftrightunsigned(code, UNIT)
+
+
+@dataclass(frozen=True)
+class Model:
+    """Tables of one or more models: for each order (model, code, p) and (model, context, rest)."""
+
+    numbers: tuple[int, ...]
+    seen: dict[int, DataFrame]
+    rests: dict[int, DataFrame]
+    head: dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def train(top: DataFrame) -> Model:
+    """Models of a ``counts`` table.
+
+    Counts of the highest order are those of the texts. The orders below
+    count in how many different n-grams of the order above a shorter one is
+    an end. Without any counts there are no models.
     """
-    lower = np.full(1, 1.0 / SYMBOLS)
-    tables = [top]
-    for k in range(order - 1, 0, -1):
-        longer = tables[-1].select("code").distinct()
-        shorter = longer.groupBy(F.col("code").bitwiseAND(SYMBOLS**k - 1).alias("code")).agg(F.count(F.lit(1)).alias("n"))
-        tables.append(shorter.select(F.lit(0).alias("model"), "code", "n"))
-    for k in range(1, order):
-        seen, contexts = _level(tables[order - k])
-        lower = _interpolated(seen, contexts, lower, k)
-    seen, contexts = _level(top)
-    out = {}
-    for model in sorted(set(seen.column("model").to_pylist())):
-        own = [t.filter(pc.equal(t.column("model"), model)) for t in (seen, contexts)]
-        out[model] = np.log(_interpolated(*own, lower, order)).astype(np.float32)
-    return out
-
-
-def _interpolated(seen: pa.Table, contexts: pa.Table, lower: np.ndarray, order: int) -> np.ndarray:
-    rest = np.ones(SYMBOLS ** (order - 1))
-    rest[contexts.column("context").to_numpy()] = contexts.column("rest").to_numpy()
-    out = np.repeat(rest, SYMBOLS) * np.tile(lower, SYMBOLS)
-    out[seen.column("code").to_numpy()] += seen.column("p").to_numpy()
-    return out
-
-
-def with_number(docs: DataFrame, name: str, score: Callable[[str], float | None]) -> DataFrame:
-    """``docs`` with a double column that ``score`` gives for each whole text; all other columns pass.
-
-    A column of that name is replaced.
+    tables = {ORDER: saved(top, "ngram-counts")}
+    for k in range(ORDER - 1, 0, -1):
+        shorter = tables[k + 1].groupBy("model", _last(F.col("code"), k).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+        tables[k] = saved(shorter, f"ngram-ends-{k}")
+    of: dict[tuple[int, int], list[int]] = {}
+    few = [t.filter("n <= 4").groupBy(F.lit(k).alias("k"), "model", "n").agg(F.count(F.lit(1)).alias("of")) for k, t in tables.items()]
+    union = few[0]
+    for more in few[1:]:
+        union = union.union(more)
+    for r in union.collect():  # at most four rows for each model and order
+        of.setdefault((r["k"], r["model"]), [0, 0, 0, 0])[r["n"] - 1] = r["of"]
+    numbers = tuple(sorted(r["model"] for r in tables[1].select("model").distinct().collect()))
+    seen: dict[int, DataFrame] = {}
+    rests: dict[int, DataFrame] = {}
+    for k in range(1, ORDER + 1):
+        discount = F.lit(0.0)
+        for model in numbers:
+            d = discounts(of.get((k, model), [0, 0, 0, 0]))
+            own = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+            discount = F.when(F.col("model") == model, own).otherwise(discount)
+        rows = tables[k].select("model", "code", _context(F.col("code")).alias("context"), "n", discount.alias("d"))
+        contexts = rows.groupBy("model", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
+        contexts = saved(contexts.select("model", "context", "total", (F.col("left") / F.col("total")).alias("rest")), f"ngram-contexts-{k}")
+        own = (F.col("n") - F.col("d")) / F.col("total")
+        found = rows.join(contexts, ["model", "context"])
+        if k == 1:
+            found = found.select("model", "code", (own + F.col("rest") * UNSEEN).alias("p"), "n")
+        else:
+            lower = seen[k - 1].select("model", F.col("code").alias("end"), F.col("p").alias("below"))
+            found = found.withColumn("end", _last(F.col("code"), k - 1)).join(lower, ["model", "end"])
+            found = found.select("model", "code", (own + F.col("rest") * F.col("below")).alias("p"), "n")
+        seen[k] = saved(found, f"ngram-order-{k}")
+        rests[k] = contexts.select("model", "context", "rest")
+    return Model(numbers, seen, rests, {m: _head(seen[ORDER].filter(F.col("model") == m)) for m in numbers})
+
+
+def _head(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent n-grams in order with their log-probabilities: as many sixteenths of an octave of counts as stay within ``HEAD``."""
+    octave = F.floor(16 * F.log2("n"))
+    sizes = sorted(((r["b"], r["of"]) for r in seen.groupBy(octave.alias("b")).agg(F.count(F.lit(1)).alias("of")).collect()), reverse=True)
+    total, least = 0, None
+    for b, n in sizes:  # at most 16 * 63 rows
+        total += n
+        if total > HEAD:
+            break
+        least = b
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    rows = seen.filter(octave >= least).select("code", F.log("p").alias("p")).toArrow()
+    code = rows["code"].to_numpy().view(np.uint64)
+    order = np.argsort(code)
+    return code[order], rows["p"].to_numpy()[order]
+
+
+def _probabilities(asked: DataFrame, model: Model) -> DataFrame:
+    """(model, code, logp) of distinct n-grams, seen or not, from the tables of all orders."""
+    found = asked.withColumn("p", F.lit(UNSEEN))
+    for k in range(1, ORDER + 1):
+        end, context = _last(F.col("code"), k), _context(_last(F.col("code"), k))
+        seen = model.seen[k].select("model", F.col("code").alias("_end"), F.col("p").alias("_p"))
+        rests = model.rests[k].select("model", F.col("context").alias("_context"), F.col("rest").alias("_rest"))
+        found = found.withColumns({"_end": end, "_context": context}).join(seen, ["model", "_end"], "left")
+        found = found.join(rests, ["model", "_context"], "left")
+        backed = F.coalesce("_rest", F.lit(1.0)) * F.col("p")
+        found = found.withColumn("p", F.coalesce("_p", backed)).select("model", "code", "p")
+    return found.select("model", "code", F.log("p").alias("logp"))
+
+
+def log_likelihoods(docs: DataFrame, model: Model, number: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """``keep`` columns and (_key1, _key2, model, length, loglik) of every row; ``number`` says which model scores it.
+
+    length counts characters; an empty or null text has length 0 and loglik 0. Rows of equal
+    text and model share what is looked up.
     """
-    docs = docs.drop(name)
+    head = docs.sparkSession.sparkContext.broadcast(model.head)
+    names = [*keep, *TEXT_KEY, "model"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([score(t.as_py() or "") for t in batch.column("text")], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
-
-
-def mean_of(table: np.ndarray, text: str, order: int = ORDER) -> float | None:
-    """Mean entry of ``table`` over the n-grams of a text; null for an empty text."""
-    total, n = 0.0, 0
-    for some in codes(text, order):
-        total += float(table[some].sum(dtype=np.float64))
-        n += len(some)
-    return total / n if n else None
+            models = batch.column(batch.schema.get_field_index("model")).to_numpy(zero_copy_only=False)
+            length, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            rest_row, rest_code, rest_n = [], [], []
+            for row, code in grams(batch.column(batch.num_columns - 1)):
+                begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                length[row[begin]] += np.diff(np.r_[begin, len(row)])
+                found, place = np.unique(code, return_inverse=True)
+                for m in np.unique(models[row]):
+                    known, p = head.value[int(m)]
+                    at = np.minimum(np.searchsorted(known, found), max(len(known) - 1, 0))
+                    hit = known[at] == found if len(known) else np.zeros(len(found), bool)
+                    own = models[row] == m
+                    value = np.where(hit, p[at] if len(known) else 0.0, 0.0)[place] * own
+                    total[row[begin]] += np.add.reduceat(value, begin)
+                    open_at = np.flatnonzero(~hit[place] & own)
+                    pair = row[open_at] * len(found) + place[open_at]
+                    pairs, n = np.unique(pair, return_counts=True)
+                    rest_row.append(pairs // len(found))
+                    rest_code.append(found[pairs % len(found)])
+                    rest_n.append(n)
+            rows = np.concatenate(rest_row) if rest_row else np.zeros(0, np.int64)
+            order = np.argsort(rows, kind="stable")
+            ends = np.searchsorted(rows[order], np.arange(batch.num_rows + 1)).astype(np.int32)
+            code = (np.concatenate(rest_code)[order] if rest_row else np.zeros(0, np.uint64)).view(np.int64)
+            n = (np.concatenate(rest_n)[order] if rest_row else np.zeros(0)).astype(np.int64)
+            items = pa.StructArray.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
+            columns = [*batch.columns[:-1], pa.array(length), pa.array(total), pa.ListArray.from_arrays(pa.array(ends), items)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "length", "known", "rest"])
+
+    rows = with_text_key(docs.withColumn("model", number.cast("int"))).select(*names, F.col("text").cast("string").alias("_text_"))
+    item = T.StructType([T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
+    extra = [T.StructField("length", T.LongType()), T.StructField("known", T.DoubleType()), T.StructField("rest", T.ArrayType(item))]
+    scored = saved(rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *extra])), "ngram-scores")
+    # A text cut into groups can hold an n-gram in several of them.
+    opened = scored.select(*TEXT_KEY, "model", F.posexplode("rest").alias("_at", "item")).select(*TEXT_KEY, "model", "_at", "item.*").distinct()
+    looked = saved(_probabilities(opened.select("model", "code").distinct(), model), "ngram-looked-up")
+    sums = opened.join(looked, ["model", "code"]).groupBy(*TEXT_KEY, "model").agg(F.sum(F.col("n") * F.col("logp")).alias("_more"))
+    found = scored.drop("rest").join(sums, [*TEXT_KEY, "model"], "left")
+    return found.select(*names, "length", (F.col("known") + F.coalesce("_more", F.lit(0.0))).alias("loglik"))

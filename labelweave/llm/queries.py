@@ -48,7 +48,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_kneser_ney_quality")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    found = quality.judged(docs, table(spark, sf_dir, "labels"))
+    found = quality.scores(docs, table(spark, sf_dir, "labels"), keep=("doc_id", "lang"))
     return found.select(
         "doc_id",
         "lang",
@@ -61,7 +61,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_kneser_ney_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = toxicity.scored(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.scored(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
     predicted = (F.col("score") >= toxicity.REJECT).cast("int")
     held_out = toxicity.fold_of() == toxicity.HELD_OUT
     return found.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
