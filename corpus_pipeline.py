@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from labelweave.llm import packing, quality, simhash, toxicity
 from labelweave.llm.steps import saved
@@ -23,13 +22,12 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity score that rejects; empty texts are scored too."""
-    found = toxicity.scored(docs.select(*COLUMNS), _labels(spark, sf_dir), "_score")
-    return found.filter(F.col("_score") < toxicity.REJECT).select(*COLUMNS)
+    return toxicity.kept(docs.select(*COLUMNS), _labels(spark, sf_dir))
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity stays within the quantile of trusted texts of their language."""
-    return quality.judged(docs.select(*COLUMNS), _labels(spark, sf_dir)).filter("_keep").select(*COLUMNS)
+    return quality.kept(docs.select(*COLUMNS), _labels(spark, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
