@@ -73,8 +73,7 @@ def e9(spark, d):
 def e10(spark, d):
     settings = [density.Setting(3, 1), density.Setting(5, 3), density.Setting(7, 3)]
     hierarchy = density.build_hierarchy(_vectors(spark, d), [1, 3])
-    flat = density.flat_clusters(hierarchy, settings)
-    return density.relative_validity(hierarchy, settings, flat)
+    return density.relative_validity(hierarchy, settings, density.label_homes(hierarchy, settings))
 
 
 @query("e11_tune_density")
