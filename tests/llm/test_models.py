@@ -1,8 +1,8 @@
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,13 +13,13 @@ from tests.llm.helpers import awkward, documents, empty, sentence, with_inner_na
 LABELS = "doc_id long, quality int, toxic int"
 
 
-def symbols(text):
-    table = ngrams._symbol_table()
-    return [int(table[min(ord(c), 0xFFFF)]) for c in text.lower()]
+def units(text):
+    raw = text.lower().encode("utf-16-le", "surrogatepass")
+    return [int.from_bytes(raw[i : i + 2], "little") for i in range(0, len(raw), 2)]
 
 
 def grams(text, n):
-    padded = [0] * (n - 1) + symbols(text)
+    padded = [32] * (n - 1) + units(text)
     return [tuple(padded[i : i + n]) for i in range(len(padded) - n + 1)]
 
 
@@ -36,7 +36,7 @@ def brute_model(texts, n):
 
     def probability(g):
         if not g:
-            return 1 / ngrams.SYMBOLS
+            return 1 / 65536
         k = len(g)
         seen = below[k].get(g[:-1])
         if not seen:
@@ -48,18 +48,47 @@ def brute_model(texts, n):
     return probability
 
 
-def test_model_equals_the_formula_and_adds_up(spark):
-    texts = [sentence(k) for k in range(6)] + ["Zürich 12!", ""]
-    docs = documents(spark, list(enumerate(texts)))
-    table = ngrams.log_probabilities(ngrams.counts(docs, F.lit(0)))[0]
+ODD = ["Zürich 12!", "", "ﬂ 日本語のテキスト 𝒳𝒴 \x00", "a" * 50]
+
+
+@pytest.mark.parametrize("head, group", [(1 << 19, 1 << 20), (40, 64), (0, 7)])
+def test_model_equals_the_formula(spark, monkeypatch, head, group):
+    """Whatever is broadcast, and wherever texts are cut into groups."""
+    monkeypatch.setattr(ngrams, "HEAD", head)
+    monkeypatch.setattr(ngrams, "GROUP_UNITS", group)
+    texts = [sentence(k) for k in range(6)] + ODD
+    model = ngrams.train(ngrams.counts(documents(spark, list(enumerate(texts))), F.lit(0)))
+    assert all(len(codes) <= head for codes, _ in model.head.values())
     plain = brute_model(texts, ngrams.ORDER)
-    sums = np.exp(table.astype(float)).reshape(-1, ngrams.SYMBOLS).sum(axis=1)
-    assert np.allclose(sums, 1, atol=1e-4)
-    for text in [sentence(3), sentence(99), "unseen é ②"]:
-        mean = sum(math.log(plain(g)) for g in grams(text, ngrams.ORDER)) / len(text)
-        assert ngrams.mean_of(table, text) == pytest.approx(mean, abs=1e-5)
-    assert ngrams.mean_of(table, "") is None
-    assert ngrams.log_probabilities(ngrams.counts(empty(spark), F.lit(0))) == {}
+    asked = [sentence(3), sentence(99), sentence(99), "unseen é ② 𝒳 語", *ODD, None]
+    found = ngrams.log_likelihoods(documents(spark, list(enumerate(asked))), model, F.lit(0), ["doc_id"]).collect()
+    assert len(found) == len(asked)
+    for row in found:
+        text = asked[row["doc_id"]] or ""
+        assert row["length"] == len(units(text))
+        assert row["loglik"] == pytest.approx(sum(math.log(plain(g)) for g in grams(text, ngrams.ORDER)), abs=1e-6)
+
+
+def test_chances_of_a_context_add_up(spark):
+    texts = ["abcab", "abd ca", "bad"]
+    plain = brute_model(texts, 4)
+    seen = {c for t in texts for c in units(t)} | {32}
+    for context in [(97, 98), (32, 98), (1, 2)]:
+        known = sum(plain((32, *context, c)) for c in seen)
+        unseen = plain((32, *context, 7)) * (65536 - len(seen))
+        assert known + unseen == pytest.approx(1)
+
+
+def test_several_models_share_tables(spark):
+    texts = [sentence(k) for k in range(8)]
+    docs = documents(spark, list(enumerate(texts)))
+    model = ngrams.train(ngrams.counts(docs, F.pmod("doc_id", F.lit(2)).cast("int")))
+    assert model.numbers == (0, 1)
+    found = ngrams.log_likelihoods(docs, model, F.pmod("doc_id", F.lit(2)).cast("int"), ["doc_id"]).collect()
+    for row in found:
+        plain = brute_model(texts[row["doc_id"] % 2 :: 2], 4)
+        assert row["loglik"] == pytest.approx(sum(math.log(plain(g)) for g in grams(texts[row["doc_id"]], 4)), abs=1e-6)
+    assert ngrams.train(ngrams.counts(empty(spark), F.lit(0))).numbers == ()
 
 
 def toxic_docs(spark, n=300):
@@ -73,6 +102,65 @@ def toxic_docs(spark, n=300):
     return documents(spark, rows), labels
 
 
+def told(text):
+    """Expressions of one and two words, as tuples."""
+    out = []
+    for piece in re.split(r"[!-&(-,./:-@\[-`{-~]", (text or "").lower()):
+        words = [w for w in re.split("[\x00-\x20\x7f]+", piece) if w]
+        out += [(w,) for w in words] + list(zip(words, words[1:]))
+    return out
+
+
+def brute_ratios(rows):
+    """Log-likelihood ratio per word of each expression of toxic texts, from (text, toxic)."""
+    out = {}
+    for k in (1, 2):
+        n = {c: Counter(e for t, toxic in rows if toxic == c for e in told(t) if len(e) == k) for c in (0, 1)}
+        texts = Counter(e for t, _ in rows for e in set(told(t)) if len(e) == k)
+
+        def shares(counts):
+            d = ngrams.discounts([sum(v == i for v in counts.values()) for i in (1, 2, 3, 4)])
+            total = sum(counts.values())
+            cut = {e: d[min(v, 3) - 1] for e, v in counts.items()}
+            return {e: (v - cut[e]) / total for e, v in counts.items()}, sum(cut.values()) / total
+
+        shared, freed = shares(texts)
+        shared = {e: v + freed / (len(texts) + 1) for e, v in shared.items()}
+        (ordinary, rest0), (toxic, rest1) = shares(n[0]), shares(n[1])
+        for e in n[1]:
+            chance = [ordinary.get(e, 0) + rest0 * shared[e], toxic[e] + rest1 * shared[e]]
+            out[e] = (math.log(chance[1]) - math.log(chance[0])) / k
+    return {e: r for e, r in out.items() if r >= toxicity.TELLING}
+
+
+@pytest.mark.parametrize("bits", [1 << 24, 64])
+def test_scores_equal_the_formula(spark, monkeypatch, bits):
+    """Also where the filter of bits lets nearly everything pass."""
+    monkeypatch.setattr(toxicity, "FILTER_BITS", bits)
+    docs, labels = toxic_docs(spark, 120)
+    taught = [(r["text"], int(r["doc_id"] % 4 == 0)) for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    ratios = brute_ratios(taught)
+    found, slope, start = toxicity.means(docs, labels)
+    assert slope > 0
+    keyed = {(r["_key1"], r["_key2"]): r["mean"] for r in found.collect()}
+    for r in ngrams.with_text_key(docs).collect():
+        best = sorted((ratios[e] for e in set(told(r["text"])) if e in ratios), reverse=True)[:2]
+        assert keyed.get((r["_key1"], r["_key2"]), 0.0) == pytest.approx(sum(best) / 2)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, labels).collect()}
+    for r in ngrams.with_text_key(docs).collect():
+        mean = keyed.get((r["_key1"], r["_key2"]), 0.0)
+        assert scores[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-(slope * mean + start))))
+
+
+def test_expressions_of_text_without_spaces():
+    import pyarrow as pa
+
+    long = "日本語" * 20
+    found = {k: (row.tolist(), code.tolist()) for k, row, code in toxicity.expressions(pa.array([long, None, "a b", long[:3]]))}
+    assert len(found[1][0]) == 60 + 2 + 1 and len(set(found[1][1][:60])) == 3
+    assert len(found[2][0]) == 59 + 1
+
+
 def test_held_out_texts_are_told_apart(spark):
     docs, labels = toxic_docs(spark)
     found = toxicity.scored(docs, labels).collect()
@@ -105,9 +193,37 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     found = quality.judged(documents(spark, clean + junk), labels).collect()
     assert all(not r["_keep"] for r in found if r.doc_id >= 100)
     assert sum(r["_keep"] for r in found if r.doc_id < 100) >= 74
+    texts = dict((r[0], r[1]) for r in clean[:60])
+    folds = {k: zlib.crc32(str(k).encode()) % 2 for k in texts}
+    unseen = [brute_model([t for k, t in texts.items() if folds[k] != fold], 4) for fold in (0, 1)]
+
+    def perplexity(k):
+        return math.exp(-sum(math.log(unseen[folds[k]](g)) for g in grams(texts[k], 4)) / len(texts[k]))
+
     for lang in ("en", "de"):
-        levels = sorted(r["_perplexity"] for r in found if r.lang == lang and r.doc_id < 60)
-        assert {r["_threshold"] for r in found if r.lang == lang} == {levels[math.ceil(0.99 * len(levels)) - 1]}
+        levels = sorted(perplexity(k) for k, _, x in clean[:60] if x == lang)
+        (threshold,) = {r["_threshold"] for r in found if r.lang == lang}
+        assert threshold == pytest.approx(levels[math.ceil(0.99 * len(levels)) - 1])
+    docs = documents(spark, clean + junk)
+    assert sorted(map(str, quality.kept(docs, labels).collect())) == sorted(str(r) for r in docs.collect() if r.doc_id < 100 and next(f for f in found if f.doc_id == r.doc_id)["_keep"])
+    assert quality.kept(docs, labels, limit=0).count() == quality.kept(docs, labels).count()
+
+
+def test_kept_texts_by_either_way(spark):
+    docs, labels = toxic_docs(spark, 120)
+    wide = with_inner_names(docs)
+    few, many = toxicity.kept(wide, labels), toxicity.kept(wide, labels, limit=0)
+    assert few.columns == wide.columns
+    assert sorted(r.doc_id for r in few.collect()) == sorted(r.doc_id for r in many.collect()) == [k for k in range(120) if k % 4]
+    assert toxicity.kept(docs, labels.limit(0)).count() == 120
+    assert toxicity.kept(empty(spark), labels).count() == 0
+
+
+def test_pipeline_over_no_documents(spark, tmp_path):
+    _, labels = toxic_docs(spark, 10)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    empty(spark).select(*corpus_pipeline.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_quality_of_awkward_rows(spark):
