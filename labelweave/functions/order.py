@@ -18,6 +18,7 @@ from labelweave.session import materialise
 
 MAX_BUCKET_DIGITS = 5  # at most 16 ** 5 buckets: the bound of the broadcast start table
 BUCKETS_PER_PARTITION = 32
+ROOM = 1.0  # times the room a bound of values needs
 MAX_RANGES = 2048  # value ranges of a running sum, whatever the number of shuffle partitions
 
 
@@ -109,3 +110,53 @@ def prefix_sums(df: DataFrame, order: str, sums: dict[str, str], descending: boo
     for out, source in sums.items():
         joined = joined.withColumn(out, F.sum(source).over(running) + F.col(f"_shift_{out}"))
     return joined.drop("_part", "_p", *[f"_shift_{o}" for o in sums])
+
+
+def top_by_value(df: DataFrame, value: str, n: int, by: Sequence[str], ties: Sequence[str], out: str = "rank") -> DataFrame:
+    """The ``n`` rows of the highest values of every ``by`` group, ranked from 1; equal values in the order of ``ties``.
+
+    Approximate quantiles of a group bound its n-th value from below, and rows
+    under the bound leave before any shuffle of rows; a group whose bound was
+    too high is looked at again with a lower one. What is left is cut into
+    ranges of values by quantiles of its own, and rows are ranked inside a
+    range and shifted by the ranges above, so no task sorts a group. Null
+    values are the lowest.
+    """
+    by = list(by)
+    score = F.coalesce(F.col(value).cast("double"), F.lit(-math.inf))
+    scored = materialise(df.withColumn("_value", score), "values")
+    room, done, left = ROOM, None, scored
+    while True:
+        share = F.greatest(F.lit(0.0), 1 - room * (n + 6 * math.sqrt(n) + 30) / F.col("_rows"))
+        # One sketch of a thousand quantiles serves every group; its bound is the step below the share.
+        cuts = left.groupBy(*by).agg(F.percentile_approx("_value", [i / 1000 for i in range(1001)], 10_000).alias("_cuts"), F.count(F.lit(1)).alias("_rows"))
+        bounds = cuts.select(*by, "_rows", F.when(share <= 0.001, F.lit(-math.inf)).otherwise(F.get("_cuts", F.floor(share * 1000).cast("int") - 1)).alias("_bound"))
+        bounds = materialise(bounds, "value-bounds")
+        same = [left[c].eqNullSafe(bounds[c]) for c in by]
+        above = left.join(bounds, same).filter(F.col("_value") >= F.col("_bound")).select(left["*"], "_rows")
+        above = materialise(above, "highest")
+        counts = above.groupBy(*by).agg(F.count(F.lit(1)).alias("_above"), F.max("_rows").alias("_rows"))
+        short = materialise(counts.filter(F.col("_above") < F.least("_rows", F.lit(n))).select(*by), "short-groups")
+        again = [above[c].eqNullSafe(short[c]) for c in by]
+        settled = above.join(short, again, "left_anti").drop("_rows")
+        done = settled if done is None else done.unionByName(settled)
+        if short.isEmpty():
+            break
+        left = materialise(left.join(short, [left[c].eqNullSafe(short[c]) for c in by], "left_semi"), "values")
+        room *= 4
+    cuts = done.groupBy(*by).agg(F.percentile_approx("_value", [i / 64 for i in range(1, 64)], 10_000).alias("_cuts"))
+    cuts = cuts.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_cuts")
+    match = F.lit(True)
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    ranged = done.join(cuts, match).drop(*[f"_by_{c}" for c in by])
+    ranged = ranged.withColumn("_range", F.size(F.filter("_cuts", lambda x: x > F.col("_value")))).drop("_cuts")
+    ranged = materialise(ranged, "ranges")
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("_start") < n)
+    starts = starts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_r"), "_start")
+    inside = Window.partitionBy(*by, "_range").orderBy(F.desc("_value"), *ties)
+    ranked = ranged.join(starts, match & (F.col("_range") == F.col("_r")))
+    ranked = ranked.withColumn(out, (F.row_number().over(inside) + F.col("_start")).cast("long")).filter(F.col(out) <= n)
+    return ranked.drop("_value", "_range", "_r", "_start", *[f"_by_{c}" for c in by])

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.functions.vectors import with_vector
+from labelweave.operators.kernels import Fourier
 from labelweave.operators.neighbours import knn_classify
 
 TWO_CLASSES = {"ml_attr": {"type": "nominal", "name": "label", "vals": ["0", "1"]}}
@@ -35,7 +36,9 @@ class Member:
     """A named model kind with its parameters.
 
     Kinds: 'forest', 'logistic', 'margin', 'knn', 'network', and 'table' for
-    probabilities computed elsewhere (params: ``scores`` DataFrame).
+    probabilities computed elsewhere (params: ``scores`` DataFrame). The param
+    ``fourier`` of 'margin' or 'logistic' (a dict of ``Fourier`` values) puts
+    random Fourier features of the Gaussian kernel in front of the plane.
     """
 
     name: str
@@ -50,6 +53,9 @@ class Fitted:
     pool: DataFrame | None = None
     only_class: int | None = None
 
+    def _mapped(self, points: DataFrame) -> DataFrame:
+        return _features(self.member, points.select("row_id", "features"))
+
     def score(self, points: DataFrame) -> DataFrame:
         """(row_id, p0, p1)."""
         if self.member.kind == "knn":
@@ -60,7 +66,7 @@ class Fitted:
         if self.only_class is not None:
             p1 = F.lit(float(self.only_class))
             return points.select("row_id", (1 - p1).alias("p0"), p1.alias("p1"))
-        scored = self.model.transform(with_vector(points))
+        scored = self.model.transform(with_vector(self._mapped(points)))
         p = vector_to_array("probability")
         return scored.select("row_id", p[0].alias("p0"), p[1].alias("p1"))
 
@@ -68,10 +74,15 @@ class Fitted:
         """(row_id, dist): signed score of the separating plane."""
         if self.only_class is not None:
             return points.select("row_id", F.lit(0.0).alias("dist"))
-        scored = self.model.transform(with_vector(points))
+        scored = self.model.transform(with_vector(self._mapped(points)))
         return scored.select("row_id", vector_to_array("plane")[1].alias("dist"))
 
 
+def _features(member: Member, points: DataFrame) -> DataFrame:
+    held = member.params.get("fourier")
+    return Fourier(**held).transform(points) if held else points
+
+
 def labelled(pool: DataFrame) -> DataFrame:
     return with_vector(pool).withColumn("label", F.col("label").cast("double").alias("label", metadata=TWO_CLASSES))
 
@@ -124,7 +135,7 @@ def fit(member: Member, pool: DataFrame) -> Fitted:
         raise ValueError(f"member {member.name} has no labelled rows to learn from")
     if seen["low"] == seen["high"]:
         return Fitted(member, only_class=int(seen["low"]))
-    return Fitted(member, model=Pipeline(stages=ml_stages(member.kind, member.params, seen["n"])).fit(labelled(pool)))
+    return Fitted(member, model=Pipeline(stages=ml_stages(member.kind, member.params, seen["n"])).fit(labelled(_features(member, pool.select("row_id", "features", "label")))))
 
 
 def fit_committee(members: Sequence[Member], pool: DataFrame) -> list[Fitted]:

@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.functions.order import rank_by_key, shuffle_key
+from labelweave.session import materialise
 from labelweave.sources.tables import sample_n
 
+ROOM = 1.0  # times the room a bound of hashes needs
+
 
 def shuffle(
     df: DataFrame, seed: int, id_col: str = "row_id", out: str = "ord", total: str | None = None
@@ -126,29 +129,63 @@ def validation_slice(
 
 
 def stratified_kfold(
-    df: DataFrame, k: int, repeats: int, seed: int = 0, label: str = "Label", id_col: str = "row_id"
+    df: DataFrame, k: int, repeats: int, seed: int = 0, label: str = "Label", id_col: str = "row_id", labels: int | None = None
 ) -> DataFrame:
-    """Fold number per repeat; every label is dealt round-robin in hash order."""
+    """Fold number per repeat; every label is dealt round-robin in hash order.
+
+    ``labels`` is the number of labels where it is known: the table of bucket
+    starts is then broadcast and the rows are shuffled once.
+    """
     repeat = F.explode(F.sequence(F.lit(1), F.lit(repeats)))
     spread = df.withColumn("repeat", repeat)
     keyed = spread.withColumn("_key", shuffle_key(seed, F.col("repeat"), F.col(id_col)))
-    ranked = rank_by_key(keyed, "_key", [id_col], by=["repeat", label], out="_rank")
+    ranked = rank_by_key(keyed, "_key", [id_col], by=["repeat", label], out="_rank", groups=labels and labels * repeats)
     return ranked.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_key", "_rank")
 
 
 def repeated_subsamples(
-    df: DataFrame, keys: Sequence[tuple[int, int, int]], seed: int = 0, id_col: str = "row_id"
-) -> DataFrame:
-    """An exact-size sample of the table for every (fold, size, repeat) key."""
-    grid = F.array(
-        *[
-            F.struct(F.lit(f).alias("fold"), F.lit(s).alias("size"), F.lit(r).alias("repeat"))
-            for f, s, r in keys
-        ]
-    )
-    spread = df.withColumn("_grid", F.explode(grid)).select(
-        "_grid.fold", "_grid.size", "_grid.repeat", *df.columns
-    )
+    df: DataFrame, keys: Sequence[tuple[int, int, int]], seed: int = 0, id_col: str = "row_id",
+    train_chunks: dict[int, Sequence[int]] | None = None,
+) -> DataFrame:
+    """An exact-size sample for every (fold, size, repeat) key, of the table or of the fold's train rows.
+
+    ``train_chunks`` names the chunks a fold trains on (``df`` then has a chunk
+    column). A sample is the least hashes of its key. Rows whose hash cannot be
+    among them, by a bound that holds with room to spare, never leave the scan;
+    should a key come out short, its bound is raised and the scan repeated.
+    """
+    chunk = F.col("chunk") if train_chunks else F.lit(0)
+    sizes = {r["c"]: r["n"] for r in df.groupBy(chunk.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per chunk
+    rows_of = {f: sum(sizes.get(c, 0) for c in (train_chunks[f] if train_chunks else (0,))) for f in {k[0] for k in keys}}
+    chunks_of = {f: list(train_chunks[f]) if train_chunks else [0] for f in rows_of}
+    slack, done, open_keys = ROOM, None, list(keys)
+    while open_keys:
+        grid = []
+        for fold, size, repeat in open_keys:
+            bound = slack * (size + 6 * size**0.5 + 30) / max(rows_of[fold], 1)
+            cut = f"{int(bound * 16**15):015x}" if bound < 1 else "g"  # after every hex digit
+            grid.append(
+                F.struct(
+                    F.lit(fold).alias("fold"), F.lit(size).alias("size"), F.lit(repeat).alias("repeat"), F.lit(cut).alias("cut"),
+                    F.array(*[F.lit(c) for c in chunks_of[fold]]).alias("chunks"),
+                )
+            )
+        own = F.filter(F.array(*grid), lambda g: F.array_contains(g["chunks"], chunk))
+
+        def hashed(g: Column) -> Column:
+            key = shuffle_key(seed, g["fold"], g["size"], g["repeat"], F.col(id_col))
+            return F.struct(g["fold"].alias("fold"), g["size"].alias("size"), g["repeat"].alias("repeat"), g["cut"].alias("cut"), key.alias("key"))
+
+        least = F.filter(F.transform(own, hashed), lambda g: g["key"] < g["cut"])
+        spread = df.withColumn("_least", F.explode(least))
+        spread = spread.select("_least.fold", "_least.size", "_least.repeat", F.col("_least.key").alias("_key"), *df.columns)
+        spread = materialise(spread, "least-hashes")
+        found = {(r["fold"], r["size"], r["repeat"]): r["n"] for r in spread.groupBy("fold", "size", "repeat").agg(F.count(F.lit(1)).alias("n")).collect()}
+        short = [k for k in open_keys if found.get(k, 0) < min(k[1], rows_of[k[0]])]
+        if short:
+            names = df.sparkSession.createDataFrame(short, "fold int, size int, repeat int")
+            spread = spread.join(F.broadcast(names), ["fold", "size", "repeat"], "left_anti")
+        done = spread if done is None else done.unionByName(spread)
+        open_keys, slack = short, 4 * slack
     by = ["fold", "size", "repeat"]
-    keyed = spread.withColumn("_key", shuffle_key(seed, *[F.col(c) for c in by], F.col(id_col)))
-    return rank_by_key(keyed, "_key", [id_col], by=by, limit=F.col("size"), groups=len(keys)).drop("_key")
+    return rank_by_key(done, "_key", [id_col], by=by, limit=F.col("size"), groups=len(keys)).drop("_key")

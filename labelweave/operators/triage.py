@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.functions.numbers import entropy
+from labelweave.functions.order import top_by_value
 
 
 def committee_average(members: DataFrame, id_col: str = "row_id") -> DataFrame:
@@ -40,6 +41,21 @@ def soft_vote_entropy(members: DataFrame, id_col: str = "row_id") -> DataFrame:
     return mean.withColumn("entropy", entropy(F.col("p0"), F.col("p1")))
 
 
+def triage_entropy(df: DataFrame, n: int, by: Sequence[str] = (), label: str = "Label", id_col: str = "row_id") -> DataFrame:
+    """The ``n`` most uncertain rows of every batch go to the oracle, the model labels the rest.
+
+    Uncertainty is the entropy of (p0, p1); equal ones go by row id. The model's
+    label is that of the larger probability, a tie class 0. A batch of ``n`` rows or fewer is asked whole.
+    """
+    scored = df.withColumn("entropy", entropy(F.col("p0"), F.col("p1")))
+    # Rounded, so that ties do not hang on the order in which means were summed.
+    ranked = top_by_value(scored.select(id_col, *by, F.round("entropy", 9).alias("_e")), "_e", n, by, [id_col], "_rank")
+    asked = ranked.select(F.col(id_col).alias("_asked"))
+    marked = scored.join(asked, F.col(id_col) == F.col("_asked"), "left")
+    decided = F.when(F.col("_asked").isNull(), F.when(F.col("p1") - F.col("p0") > 1e-9, F.lit(1)).otherwise(F.lit(0)))
+    return _settle(marked, decided, label).drop("_asked")
+
+
 def binary_from_probability(scored: DataFrame, p1: str = "p1", out: str = "prediction") -> DataFrame:
     return scored.withColumn(out, F.when(F.col(p1) > 0.5, F.lit(1)).otherwise(F.lit(0)))
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelweave.operators import propagation, triage
+from labelweave.operators import classifiers, propagation, triage
+from labelweave.operators.classifiers import Member
+from labelweave.plans import loops
 from labelweave.plans.catalog import query, table
 
 # ---------------------------------------------------------------- propagation
@@ -267,6 +269,28 @@ def h7(spark, d):
     return ranked.select("row_id", F.round("entropy", 6).alias("entropy"))
 
 
+@query(
+    "h7_entropy_selection",
+    f"""
+    WITH votes AS (SELECT row_id, avg(p0) AS p0, avg(p1) AS p1 FROM ({MEMBERS}) GROUP BY row_id),
+    e AS (SELECT row_id, CAST(row_id % 7 AS INTEGER) AS batch, CAST(row_id % 2 AS INTEGER) AS Label, p0, p1,
+                 round(-(CASE WHEN p0 > 0 THEN p0 * ln(p0) ELSE 0 END + CASE WHEN p1 > 0 THEN p1 * ln(p1) ELSE 0 END), 9) AS entropy
+          FROM votes),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY entropy DESC, row_id) AS place FROM e)
+    SELECT row_id, batch, round(entropy, 6) AS entropy,
+           CASE WHEN place <= 100 THEN Label WHEN p1 - p0 > 1e-9 THEN 1 ELSE 0 END AS new_label,
+           CASE WHEN place <= 100 THEN 'oracle' ELSE 'model' END AS source
+    FROM placed
+    """,
+)
+def h7_selection(spark, d):
+    """The hundred rows of each batch that the committee is least sure of."""
+    mean = triage.committee_average(members(spark, d))
+    rows = mean.withColumns({"batch": F.pmod("row_id", F.lit(7)).cast("int"), "Label": F.pmod("row_id", F.lit(2)).cast("int")})
+    chosen = triage.triage_entropy(rows, 100, ["batch"])
+    return chosen.select("row_id", "batch", F.round(F.round("entropy", 9), 6).alias("entropy"), "new_label", "source")
+
+
 POOL = f"""
     SELECT row_id, new_label, source, CAST(1 + row_id // 3000 AS INTEGER) AS iteration
     FROM ({_settled_sql(SCORED, "CASE WHEN p0 > 0.6 THEN 0 WHEN p1 > 0.6 THEN 1 END")})
@@ -319,15 +343,28 @@ H5_ROWS = f"""
     SELECT row_id, Label, CASE WHEN p0 > 0.7 THEN 0 ELSE 1 END AS new_label, 'model' AS source
     FROM scored WHERE p0 > 0.7 OR p1 > 0.7
     UNION ALL
-    SELECT ord, Label, CASE WHEN n_core > 0 AND (kinds = 1 OR best / n_core >= 0.5) THEN top ELSE Label END, 'cluster'
+    SELECT ord, Label, CASE WHEN n_core > 0 AND (kinds = 1 OR best / n_core >= 0.5) THEN top ELSE Label END,
+           CASE WHEN n_core > 0 AND (kinds = 1 OR best / n_core >= 0.5) THEN 'cluster' ELSE 'oracle' END
     FROM uncertain LEFT JOIN ruled USING (cluster)
 """
 
 
 @query("h5_triage_committee_cluster", H5_ROWS)
 def h5(spark, d):
-    clusters = clustered(spark, d).select(F.col("ord").alias("row_id"), "ord", "cluster", "prob")
-    confident, uncertain = triage.split_confident(scored(spark, d), 0.7)
-    spread = propagation.propagate(uncertain.join(clusters, "row_id"), 0.5)
-    keep = ["row_id", "Label", "new_label", "source"]
-    return confident.select(*keep).unionByName(spread.withColumn("source", F.lit("cluster")).select(*keep))
+    """The composed labeller, with probabilities and clusters from elsewhere."""
+    clusters = clustered(spark, d).select(F.col("ord").alias("row_id"), "cluster", "prob")
+    given = scored(spark, d)
+    batch = given.select("row_id", F.col("row_id").alias("ord"), F.array("p0").alias("features"), "Label")
+    committee = [classifiers.fit(Member("given", "table", {"scores": given.select("row_id", "p0", "p1")}), batch)]
+    labeller = loops.by_committee_and_clusters(lambda rows: (rows.join(clusters, "row_id"), 0.0), 0.7, 0.5)
+    return labeller(batch, committee)[0].select("row_id", "Label", "new_label", "source")
+
+
+@query(
+    "h8_replace_pool",
+    f"SELECT row_id, new_label, source, iteration FROM ({POOL}) WHERE iteration = 2",
+)
+def h8_replaced(spark, d):
+    """Train on batch: the pool is the second batch only."""
+    rows = _pool(spark, d)
+    return triage.replace_pool(rows.filter("iteration = 1"), rows.filter("iteration = 2"))

@@ -76,9 +76,15 @@ def e10(spark, d):
     return density.relative_validity(hierarchy, settings, density.label_homes(hierarchy, settings))
 
 
-@query("e11_tune_density")
+@query("e11_tune_density", f"SELECT {len(GRID_SIZES) * len(GRID_SAMPLES)}::BIGINT AS n_sets, 0::BIGINT AS n_outside, true AS first_best, count(*) AS n_rows FROM embeddings")
 def e11(spark, d):
-    return density.tune_density(_vectors(spark, d), GRID_SIZES, GRID_SAMPLES)[0]
+    """The whole grid: every setting once, scores within their bounds, and the first of the best ones chosen."""
+    scores, clusters, best = density.tune_density(_vectors(spark, d), GRID_SIZES, GRID_SAMPLES)
+    sample = F.array_position(F.array(*[F.lit(x or 0) for x in GRID_SAMPLES]), F.coalesce("min_samples", F.lit(0)))
+    first = F.max_by(F.struct("min_cluster_size", "min_samples"), F.struct("score", -F.col("min_cluster_size"), -sample))
+    found = scores.distinct().agg(F.count(F.lit(1)).alias("n_sets"), F.count_if(~F.col("score").between(-1, 1)).alias("n_outside"), first.alias("first"))
+    chosen = (F.col("first.min_cluster_size") == best.min_cluster_size) & F.col("first.min_samples").eqNullSafe(F.lit(best.min_samples).cast("int"))
+    return found.select("n_sets", "n_outside", chosen.alias("first_best"), clusters.agg(F.count(F.lit(1))).scalar().alias("n_rows"))
 
 
 @query("e14_linkage_rows")
@@ -122,6 +128,14 @@ def _parts(spark, d):
     )
 
 
+def _suppliers(spark, d):
+    return table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("row_id"),
+        F.array(F.col("s_nationkey") / 25, F.col("s_acctbal") / 10000).alias("features"),
+        (F.col("s_acctbal") > 4000).cast("int").alias("Label"),
+    )
+
+
 def _scored(spark, d, member, rows=None):
     """How many rows got two probabilities that add up, and how far their mean is from the share of label 1."""
     rows = materialise(_items(spark, d), "items") if rows is None else rows
@@ -142,12 +156,7 @@ def _scored_sql(table: str) -> str:
 @query("g1_random_forest", _scored_sql("supplier"))
 def g1(spark, d):
     """All 600 trees at full depth, over a small table."""
-    rows = table(spark, d, "supplier").select(
-        F.col("s_suppkey").alias("row_id"),
-        F.array(F.col("s_nationkey") / 25, F.col("s_acctbal") / 10000).alias("features"),
-        (F.col("s_acctbal") > 4000).cast("int").alias("Label"),
-    )
-    return _scored(spark, d, Member("forest", "forest"), rows)
+    return _scored(spark, d, Member("forest", "forest"), _suppliers(spark, d))
 
 
 @query("g3_logistic_regression", _scored_sql("lineitem"))
@@ -155,12 +164,44 @@ def g3(spark, d):
     return _scored(spark, d, Member("logistic", "logistic", {"C": 10.0}))
 
 
-@query("g4_linear_margin")
+@query("g4_linear_margin", "SELECT count(*) AS n_rows, 0::BIGINT AS n_wrong_source, true AS mostly_right FROM part")
 def g4(spark, d):
-    rows = materialise(_items(spark, d), "items")
-    fitted = classifiers.fit(Member("margin", "margin", {"C": 1.0, "max_iter": 20}), rows)
+    """Rows inside the margin are asked, the others take the side of the plane."""
+    rows = materialise(_parts(spark, d).withColumnRenamed("label", "Label"), "parts")
+    fitted = classifiers.fit(Member("margin", "margin", {"C": 1.0}), rows)
     scored = fitted.margin(rows).join(fitted.score(rows), "row_id").join(rows.select("row_id", "Label"), "row_id")
-    return triage.query_cost(triage.triage_margin(scored, 1.0))
+    batch = triage.triage_margin(scored, 1.0)
+    side = F.when(F.abs("dist") <= 1, F.col("Label")).otherwise((F.col("dist") > 0).cast("int"))
+    wrong = (F.col("new_label") != side) | ((F.col("source") == "oracle") != (F.abs("dist") <= 1))
+    half = F.avg(((F.col("p1") > 0.5) == (F.col("Label") == 1)).cast("double"))
+    return batch.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(wrong).alias("n_wrong_source"), (half >= 0.5).alias("mostly_right"))
+
+
+RING_RADIUS = 0.3
+
+
+@query(
+    "g4_fourier_margin",
+    f"""
+    WITH p AS (SELECT least(value / 200, 1) AS v, CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) / 100 AS k FROM events)
+    SELECT count(*) AS n_rows, count(*) FILTER ((v - 0.5) * (v - 0.5) + (k - 0.5) * (k - 0.5) < {RING_RADIUS ** 2}) AS n_inside,
+           true AS curved_is_right, true AS plain_is_not FROM p
+    """,
+)
+def g4_fourier(spark, d):
+    """Rows inside a circle: a plane over Fourier features tells them apart, a plane over the rows cannot."""
+    inside = (F.col("x") - 0.5) * (F.col("x") - 0.5) + (F.col("y") - 0.5) * (F.col("y") - 0.5) < RING_RADIUS**2
+    rows = _event_points(spark, d).select("row_id", "features", F.col("features")[0].alias("x"), F.col("features")[1].alias("y"))
+    rows = materialise(rows.select("row_id", "features", inside.cast("int").alias("label")), "ring")
+    out = rows.select("row_id", "label")
+    for name, params in (("curved", {"fourier": {"n": 200, "gamma": 20.0}}), ("plain", {})):
+        fitted = classifiers.fit(Member(name, "margin", {"C": 10.0} | params), rows)
+        out = out.join(fitted.margin(rows).select("row_id", (F.col("dist") > 0).cast("int").alias(name)), "row_id")
+    # The rarer side decides: a plane that puts all rows on one side finds none of it.
+    right = lambda c: F.avg(F.when(F.col("label") == 1, (F.col(c) == 1).cast("double"))) + F.avg(F.when(F.col("label") == 0, (F.col(c) == 0).cast("double")))
+    return out.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("n_inside"), (right("curved") > 1.9).alias("curved_is_right"), (right("plain") < 1.5).alias("plain_is_not")
+    )
 
 
 @query("g5_external_member", "SELECT CAST(event_id AS BIGINT) AS row_id, 1 - value / 1000 AS p0, value / 1000 AS p1 FROM events")
@@ -181,7 +222,7 @@ def g5_network(spark, d):
 @query("a8_save_load_model", "SELECT count(*) AS n_rows, 0::BIGINT AS n_different FROM lineitem")
 def a8(spark, d):
     rows = materialise(_items(spark, d), "items")
-    pipeline = Pipeline(stages=classifiers.ml_stages("logistic", {"max_iter": 5}, 1000))
+    pipeline = Pipeline(stages=classifiers.ml_stages("logistic", {}, rows.count()))
     fitted = pipeline.fit(classifiers.labelled(rows))
     folder = scratch_path(spark, "models")
     models.save_model(fitted, folder, "logistic", 1, "train_1")
@@ -198,13 +239,16 @@ def a8(spark, d):
 # ---------------------------------------------------------------- tuning
 
 
-@query("g12_tune", "SELECT 2::BIGINT AS n_sets, 0::BIGINT AS n_outside, true AS first_best")
+FOREST_SETS = [{"n_trees": n, "max_depth": depth} for n in (100, 300, 600) for depth in (10, 30)]
+
+
+@query("g12_tune", f"SELECT {len(FOREST_SETS)}::BIGINT AS n_sets, 0::BIGINT AS n_outside, true AS first_best")
 def g12(spark, d):
-    rows = materialise(_items(spark, d).withColumn("ord", F.col("row_id")), "items")
-    validation = materialise(splitting.validation_slice(rows, 0.1, 6000), "validation")
-    sets = [{"n_trees": 5, "max_depth": 3}, {"n_trees": 10, "max_depth": 5}]
-    rest = rows.join(validation.select("row_id"), "row_id", "left_anti")
-    best, scores = tuning.tune("forest", "forest", sets, validation, rest)
+    """Six forests up to the full size, over a small table."""
+    rows = materialise(_suppliers(spark, d).withColumn("ord", F.col("row_id")), "rows")
+    validation = materialise(splitting.validation_slice(rows, 0.5, 6000).withColumnRenamed("Label", "label"), "validation")
+    rest = rows.withColumnRenamed("Label", "label").join(validation.select("row_id"), "row_id", "left_anti")
+    best, scores = tuning.tune("forest", "forest", FOREST_SETS, validation, rest, parallelism=6)
     chosen = F.to_json(F.create_map(*[F.lit(str(x)) for pair in best.params.items() for x in pair]))
     first_best = F.max_by(F.to_json("params"), F.struct("score", -F.col("place")))
     return scores.agg(
@@ -251,7 +295,7 @@ def _report(outcomes):
     )
 
 
-def _report_sql(methods, table, init, batch, tuned=True, folds=3):
+def _report_sql(methods, table, init, batch, tuned=True):
     """Rows of every fold: three chunks, two of them to train on, batches of fixed shares."""
     names = ", ".join(f"('{m}')" for m in methods)
     return f"""
@@ -263,7 +307,7 @@ def _report_sql(methods, table, init, batch, tuned=True, folds=3):
     steps AS (SELECT fold, 1::BIGINT AS step, rows, size, least(init, rows) AS samples FROM s
               UNION ALL SELECT fold, step + 1, rows, size, least(samples + size, rows) FROM steps WHERE samples < rows)
     SELECT m AS ML_method, fold AS Training_set, step AS N_Retrains, samples, {str(tuned).lower()} AS tuned, true AS scored
-    FROM steps, (VALUES {names}) v(m) WHERE fold <= 'train_{folds}'
+    FROM steps, (VALUES {names}) v(m)
     """
 
 
@@ -290,61 +334,88 @@ def _event_points(spark, d):
     return points(events.withColumn("Label", label), "event_id", ["v", "k"], ["Label"])
 
 
-@query("h6_triage_cluster_kmeans")
+@query(
+    "h6_triage_cluster_kmeans",
+    """
+    WITH n AS (SELECT count(*) AS n FROM events), t AS (SELECT n - (n // 3) AS rows FROM n)
+    SELECT rows - greatest(1, CAST(floor(rows * 0.3) AS BIGINT)) AS n_rows, 10 AS n_query, 0::BIGINT AS n_without_label FROM t
+    """,
+)
 def h6(spark, d):
+    """Rows the model is sure of, and the others by ten exemplars."""
     _, train, _, init, _ = _folds(_event_points(spark, d), 0.3, 0.5, 1)[0]
     batches = splitting.assign_batches(train, init, 10**9)
     pool = materialise(batches.filter("iteration = 1").withColumn("label", F.col("Label")), "init")
     fitted = classifiers.fit_committee([Member("logistic", "logistic")], pool)
     batch, totals = loops.by_committee_and_centres(k=10)(batches.filter("iteration > 1"), fitted)
-    return batch.groupBy("source", "new_label").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.lit(totals["n_query"])).alias("n_query")
+    return batch.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.lit(totals["n_query"]).alias("n_query"),
+        F.count_if(F.col("new_label").isNull() | ~F.col("source").isin("model", "cluster")).alias("n_without_label"),
     )
 
 
 C_SETS = [{"C": c} for c in (0.1, 10.0)]
 
 
-@query("h10_self_active_loop", _report_sql(["knn", "logistic", "committee"], "embeddings", 0.5, 0.25, folds=1))
+@query("h10_self_active_loop", _report_sql(["knn", "logistic", "committee"], "embeddings", 0.5, 0.25))
 def h10(spark, d):
+    """All folds; every batch picks its own density setting."""
     members = [Member("knn", "knn", {"k": 7}), Member("logistic", "logistic")]
-    labeller = loops.by_committee_and_density(density.Setting(3, 1), 0.6)
-    upkeep = loops.Upkeep({"logistic": C_SETS}, store=scratch_path(spark, "outputs"))
-    rows = embedded(spark, d).drop("cluster")
-    return _report(
-        loops.self_active_loop(train, test, members, labeller, init, size, fold=fold, upkeep=upkeep)
-        for fold, train, test, init, size in _folds(rows, 0.5, 0.25, 1)
-    )
+    labeller = loops.by_committee_and_density(loops.DensityGrid([3, 5], [None, 1]), 0.6)
+
+    def run(fold, train, test, init, size):
+        # Folds run side by side, so each keeps its outputs in a folder of its own.
+        upkeep = loops.Upkeep({"logistic": C_SETS}, store=scratch_path(spark, f"outputs-{fold}"))
+        return loops.self_active_loop(train, test, members, labeller, init, size, fold=fold, upkeep=upkeep)
 
+    return _report(loops.over_folds(_folds(embedded(spark, d).drop("cluster"), 0.5, 0.25), run))
 
-@query("h10_self_active_loop_margin", _report_sql(["AL_SVM_C2H"], "events", 0.2, 0.4, tuned=False, folds=1))
+
+@query("h10_self_active_loop_margin", _report_sql(["AL_SVM_C2H"], "events", 0.2, 0.4, tuned=False))
 def h10_margin(spark, d):
-    members = [Member("AL_SVM_C2H", "margin", {"max_iter": 20})]
-    return _report(
-        loops.self_active_loop(train, test, members, loops.by_margin(), init, size, "AL_SVM_C2H", fold)
-        for fold, train, test, init, size in _folds(_event_points(spark, d), 0.2, 0.4, 1)
-    )
+    members = [Member("AL_SVM_C2H", "margin")]
+
+    def run(fold, train, test, init, size):
+        return loops.self_active_loop(train, test, members, loops.by_margin(), init, size, "AL_SVM_C2H", fold)
 
+    return _report(loops.over_folds(_folds(_event_points(spark, d), 0.2, 0.4), run))
 
-@query("h11_active_loop_single_train", _report_sql(["AL_RF_US"], "events", 0.2, 0.1, tuned=False))
+
+@query("h11_active_loop_single_train", _report_sql(["AL_RF_US"], "supplier", 0.2, 0.1, tuned=False))
 def h11(spark, d):
-    members = [Member("AL_RF_US", "forest", {"n_trees": 20, "max_depth": 5})]
-    return _report(
-        loops.single_train_loop(train, test, members, loops.by_probability(), init, size, "AL_RF_US", fold)
-        for fold, train, test, init, size in _folds(_event_points(spark, d), 0.2, 0.1)
-    )
+    """Forests of full size, over a small table."""
+    members = [Member("AL_RF_US", "forest")]
 
+    def run(fold, train, test, init, size):
+        return loops.single_train_loop(train, test, members, loops.by_probability(), init, size, "AL_RF_US", fold)
 
-@query("h12_two_stage_loop", _report_sql(["AL_LR_US"], "embeddings", 0.5, 0.5))
+    return _report(loops.over_folds(_folds(_suppliers(spark, d), 0.2, 0.1), run))
+
+
+@query(
+    "h12_two_stage_loop",
+    """
+    WITH RECURSIVE n AS (SELECT count(*) AS n FROM embeddings),
+    folds(fold, test_chunk) AS (VALUES ('train_1', 3), ('train_2', 2), ('train_3', 1)),
+    t AS (SELECT fold, n - (n // 3 + CASE WHEN test_chunk <= n % 3 THEN 1 ELSE 0 END) AS rows FROM n, folds),
+    s AS (SELECT fold, rows, greatest(1, CAST(floor(rows * 0.3) AS BIGINT)) AS init,
+                 greatest(1, CAST(floor(rows * 0.4) AS BIGINT)) AS size FROM t),
+    b AS (SELECT *, greatest(1, init // 2) AS small FROM s),
+    steps AS (SELECT fold, 1::BIGINT AS step, rows, init, small, size, least(small, rows) AS samples FROM b
+              UNION ALL SELECT fold, step + 1, rows, init, small, size,
+                               least(samples + CASE WHEN samples < init THEN small ELSE size END, rows) FROM steps WHERE samples < rows)
+    SELECT 'AL_LR_US' AS ML_method, fold AS Training_set, step AS N_Retrains, samples, true AS tuned, true AS scored FROM steps
+    """,
+)
 def h12(spark, d):
-    """The initial stage asks the oracle, in one batch of all its rows."""
+    """All folds: small batches labelled through density clusters at 0.9, scaled batches and pool, then larger batches."""
     members = [Member("AL_LR_US", "logistic")]
     upkeep = loops.Upkeep({"AL_LR_US": C_SETS})
-    rows = embedded(spark, d).drop("cluster")
-    return _report(
-        loops.two_stage_loop(
-            train, test, members, loops.by_probability(), density.Setting(3, 1), init, init, size, method="AL_LR_US",
-            fold=fold, upkeep=upkeep, ask_first=True,
+
+    def run(fold, train, test, init, size):
+        return loops.two_stage_loop(
+            train, test, members, loops.by_probability(), density.Setting(3, 1), init, max(1, init // 2), size, majority=0.9,
+            method="AL_LR_US", fold=fold, upkeep=upkeep, scale=True,
         )
-        for fold, train, test, init, size in _folds(rows, 0.5, 0.5)
-    )
+
+    return _report(loops.over_folds(_folds(embedded(spark, d).drop("cluster"), 0.3, 0.4), run))

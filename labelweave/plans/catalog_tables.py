@@ -441,22 +441,29 @@ def c10(spark, d):
     """,
 )
 def c11(spark, d):
-    return splitting.stratified_kfold(_orders(spark, d), 5, 3, 2, "o_orderstatus", "o_orderkey")
+    return splitting.stratified_kfold(_orders(spark, d), 5, 3, 2, "o_orderstatus", "o_orderkey", labels=3)
 
 
-SUBSAMPLES = [(f, s, r) for f in (1, 2, 3) for s in (100, 300) for r in (1, 2)]
+# Sizes and repeats of the initial samples, of each of the three folds.
+SUBSAMPLES = [(f, s, r) for f in (1, 2, 3) for s in (1000, 3000) for r in range(1, 21)]
+TRAIN_CHUNKS = {f: [c for g, role, c in splitting.fold_table(3, 2, 1) if g == f and role == "train"] for f in (1, 2, 3)}
 
 
 @query(
     "c12_repeated_subsamples",
     f"""
+    WITH chunks AS ({CHUNKS.format(n=3, ord=ORD)}),
+    train AS (SELECT fold, o_orderkey FROM chunks JOIN (
+        SELECT * FROM (VALUES {", ".join(f"({f}, {c})" for f, cs in TRAIN_CHUNKS.items() for c in cs)}) v(fold, chunk)) USING (chunk))
     SELECT fold, size, repeat, o_orderkey, ord FROM (
         SELECT fold, size, repeat, o_orderkey, row_number() OVER (
                    PARTITION BY fold, size, repeat
                    ORDER BY md5(concat_ws(':', 9, fold, size, repeat, o_orderkey)), o_orderkey) - 1 AS ord
-        FROM orders, (SELECT * FROM (VALUES {", ".join(str(k) for k in SUBSAMPLES)}) v(fold, size, repeat)))
+        FROM train JOIN (SELECT * FROM (VALUES {", ".join(str(k) for k in SUBSAMPLES)}) v(fold, size, repeat)) USING (fold))
     WHERE ord < size
     """,
 )
 def c12(spark, d):
-    return splitting.repeated_subsamples(table(spark, d, "orders").select("o_orderkey"), SUBSAMPLES, 9, "o_orderkey")
+    ordered = splitting.shuffle(table(spark, d, "orders").select("o_orderkey"), SEED, "o_orderkey", total="_total")
+    chunks = splitting.chunk(ordered, 3, rows=F.col("_total")).select("o_orderkey", "chunk")
+    return splitting.repeated_subsamples(chunks, SUBSAMPLES, 9, "o_orderkey", TRAIN_CHUNKS).drop("chunk")

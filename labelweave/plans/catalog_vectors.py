@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelweave.functions.vectors import points, with_vector
 from labelweave.operators import centres as cen
-from labelweave.operators import neighbours, propagation, radius, scoring, selection, splitting, triage, validity
+from labelweave.operators import hashing, neighbours, propagation, radius, scoring, selection, splitting, triage, validity
 from labelweave.plans.catalog import query, table
 from labelweave.session import materialise
 
@@ -338,9 +338,29 @@ def e6_many(spark, d):
     return _silhouette(embedded(spark, d).withColumn("cluster", (F.col("row_id") % 50).cast("int")))
 
 
-@query("e6_silhouette_mahalanobis")
+@query(
+    "e6_silhouette_mahalanobis",
+    """
+    WITH e AS (SELECT c_custkey AS row_id, c_acctbal / 100 AS x, c_nationkey * 20.0::DOUBLE + c_acctbal / 500 AS y,
+                      CAST(c_nationkey % 4 AS INTEGER) AS cluster FROM customer),
+    v AS (SELECT var_samp(x) AS xx, var_samp(y) AS yy, covar_samp(x, y) AS xy FROM e),
+    m AS (SELECT a.row_id, a.cluster AS own, b.cluster AS other, count(*) AS n, sum(sqrt(greatest(0,
+                 ((a.x - b.x) ** 2 * yy - 2 * (a.x - b.x) * (a.y - b.y) * xy + (a.y - b.y) ** 2 * xx) / (xx * yy - xy * xy)))) AS total
+          FROM e a, e b, v GROUP BY ALL),
+    ab AS (SELECT row_id, max(CASE WHEN own = other THEN total / (n - 1) END) AS a,
+                  min(CASE WHEN own <> other THEN total / n END) AS b FROM m GROUP BY row_id)
+    SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM ab
+    """,
+)
 def e6_mahalanobis(spark, d):
-    return validity.silhouette(embedded(spark, d), sample=None, metric="mahalanobis")
+    """Distances by the inverse covariance of two correlated columns."""
+    rows = table(spark, d, "customer").withColumns(
+        {
+            "x": F.col("c_acctbal") / 100, "y": F.col("c_nationkey") * 20.0 + F.col("c_acctbal") / 500,
+            "cluster": F.pmod("c_nationkey", F.lit(4)).cast("int"),
+        }
+    )
+    return _silhouette(points(rows, "c_custkey", ["x", "y"], ["cluster"]), metric="mahalanobis")
 
 
 @query(
@@ -484,6 +504,20 @@ def g2_uniform(spark, d):
     return scored.select("row_id", F.round("p0", 6).alias("p0"), F.round("p1", 6).alias("p1"))
 
 
+@query(
+    "g2_hashed_neighbours",
+    "SELECT count(*) AS n_queries, true AS found_nine_of_ten, true AS compared_few FROM customer",
+)
+def g2_hashed(spark, d):
+    """Ten near customers of every customer by hashing, held against the exact ones."""
+    rows = _accounts(spark, d)
+    found = materialise(hashing.nearest_by_hashing(rows, rows, 10, exclude_self=True), "hashed")
+    exact = neighbours.nearest(rows, rows, 10, exclude_self=True)
+    buckets = materialise(hashing._bucketed(rows, 1, 2, 4 * hashing.usual_gap(rows, 10), 2, hashing.SEED), "buckets").groupBy("bucket").count()
+    most = F.lit(buckets.agg(F.max("count")).first()[0] * 4)
+    return hashing.recall(found, exact).select("n_queries", (F.col("recall") >= 0.9).alias("found_nine_of_ten"), (most < F.col("n_queries")).alias("compared_few"))
+
+
 @query(
     "flagship_label_report",
     KNN.format(dist=L1, vote=UNIFORM, k=7)

@@ -1,3 +1,4 @@
+import random
 import hashlib
 from collections import Counter
 
@@ -95,6 +96,12 @@ def test_samples_are_exact(spark):
     assert sorted(r["row_id"] for r in tables.sample_n(df, 9, 5).collect()) == sorted(
         sorted(range(1000), key=lambda i: (md5(5, i), i))[:9]
     )
+    chunks = df.withColumn("chunk", (F.col("row_id") % 3 + 1).cast("int"))
+    of_fold = splitting.repeated_subsamples(chunks, [(1, 10, 1), (2, 400, 7), (2, 900, 1)], 9, train_chunks={1: [1], 2: [1, 3]}).collect()
+    for fold, size, repeat, own in ((1, 10, 1, {0}), (2, 400, 7, {0, 2}), (2, 900, 1, {0, 2})):
+        ids = sorted((md5(f"9:{fold}:{size}:{repeat}", i), i) for i in range(1000) if i % 3 in own)[:size]
+        got = sorted((r["ord"], r["row_id"]) for r in of_fold if (r["fold"], r["size"], r["repeat"]) == (fold, size, repeat))
+        assert got == [(place, i) for place, (_, i) in enumerate(ids)]
     subsamples = splitting.repeated_subsamples(df, [(1, 10, 1), (1, 10, 2), (2, 40, 1)])
     assert sorted(r["count"] for r in subsamples.groupBy("fold", "size", "repeat").count().collect()) == [10, 10, 40]
 
@@ -112,3 +119,31 @@ def test_running_sums_at_cluster_settings(spark, partitions):
     for place in sorted(values):
         total += values[place]
         assert found[place] == total
+
+
+def test_samples_whose_bound_was_too_low_are_drawn_again(spark, monkeypatch):
+    rows = spark.range(600).withColumnRenamed("id", "row_id")
+    monkeypatch.setattr(splitting, "ROOM", 0.2)
+    got = splitting.repeated_subsamples(rows, [(1, 100, 1), (1, 600, 2), (1, 5, 1)], 3).collect()
+    assert sorted((r["size"], r["ord"]) for r in got) == sorted((n, k) for n in (5, 100, 600) for k in range(n))
+
+
+@pytest.mark.parametrize("room", [1.0, 0.05])
+def test_highest_values_of_every_group(spark, monkeypatch, room):
+    """Also where bounds are too high at first, groups hold less than asked for, or ties decide."""
+    from labelweave.functions import order
+
+    monkeypatch.setattr(order, "ROOM", room)
+    rng = random.Random(2)
+    rows = [(k, rng.choice(["a", "a", "a", "b", None]), rng.choice([0.5, None, rng.random(), rng.random()])) for k in range(5000)]
+    rows += [(9000 + k, "small", 0.1) for k in range(7)]
+    df = spark.createDataFrame(rows, "row_id long, g string, x double")
+    got = {}
+    for r in order.top_by_value(df, "x", 300, ["g"], ["row_id"]).collect():
+        got.setdefault(r["g"], []).append((r["rank"], r["row_id"]))
+    for g in ("a", "b", None, "small"):
+        ranked = sorted((x is None, -(x or 0), k) for k, group, x in rows if group == g)[:300]
+        assert sorted(got[g]) == [(place, k) for place, (_, _, k) in enumerate(ranked, 1)]
+    assert order.top_by_value(df.limit(0), "x", 3, ["g"], ["row_id"]).count() == 0
+    whole = order.top_by_value(df.filter("x is not null"), "x", 5, [], ["row_id"]).orderBy("rank").collect()
+    assert [r["row_id"] for r in whole] == [k for _, k in sorted((-x, k) for k, _, x in rows if x is not None)[:5]]

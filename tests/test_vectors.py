@@ -4,7 +4,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from labelweave.functions.vectors import with_vector
-from labelweave.operators import blocks, centres, forest, grid, merge_tree, neighbours, radius, selection, validity
+from labelweave.operators import blocks, centres, forest, grid, hashing, kernels, merge_tree, neighbours, radius, selection, validity
 
 SCHEMA = "row_id bigint, features array<double>"
 
@@ -305,3 +305,37 @@ def test_pca_is_centred(spark, cloud):
     got = np.array([r["components"] for r in rows.orderBy("row_id").collect()])
     _, s, _ = np.linalg.svd(cloud - cloud.mean(0), full_matrices=False)
     assert np.sqrt((got**2).sum(0)) == pytest.approx(s[:2])
+
+
+@pytest.mark.parametrize("gamma, d", [(0.5, 2), (2.0, 5)])
+def test_fourier_features_approach_the_kernel(spark, gamma, d):
+    x = np.random.default_rng(4).normal(size=(60, d))
+    held = kernels.Fourier(4000, gamma)
+    mapped = held.map_rows(x)
+    kernel = np.exp(-gamma * pairwise(x) ** 2)
+    assert np.abs(mapped @ mapped.T - kernel).max() < 0.1
+    few = kernels.Fourier(50, gamma)
+    got = few.transform(frame(spark, x)).orderBy("row_id").collect()
+    assert np.allclose([r["features"] for r in got], few.map_rows(x))
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_hashed_neighbours(spark, monkeypatch, p):
+    monkeypatch.setattr(hashing, "PART_ROWS", 64)
+    x = np.concatenate([clustered_unit_vectors(1500, per_cluster=150, dimensions=8), np.tile([[3.0] * 8], (200, 1))])
+    df = frame(spark, x)
+    d = np.round(pairwise(x, p), 9)
+    found = hashing.nearest_by_hashing(df, df, 5, p, exclude_self=True)
+    exact = neighbours.nearest(df, df, 5, p, exclude_self=True)
+    assert hashing.recall(found, exact).first()["recall"] >= 0.9
+    places = {}
+    for r in found.collect():
+        assert r["dist"] == pytest.approx(pairwise(x[[r["query_id"], r["row_id"]]], p)[0, 1]) and r["query_id"] != r["row_id"]
+        places.setdefault(r["query_id"], []).append((r["rank"], d[r["query_id"], r["row_id"]], r["row_id"]))
+    for own in places.values():
+        assert [k for k, _, _ in sorted(own)] == list(range(1, len(own) + 1))
+        assert [a[1:] for a in sorted(own)] == sorted(a[1:] for a in own)
+    # What falls into one bucket is compared in full, however crowded it is.
+    everything = hashing.nearest_by_hashing(df, df, 5, p, tables=1, width=1e9, exclude_self=True)
+    assert hashing.recall(everything, exact).first()["recall"] == 1.0
+    assert hashing.nearest_by_hashing(df.limit(0), df, 5, p).count() == 0
