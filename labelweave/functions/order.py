@@ -122,6 +122,8 @@ def top_by_value(df: DataFrame, value: str, n: int, by: Sequence[str], ties: Seq
     range and shifted by the ranges above, so no task sorts a group. Null
     values are the lowest.
     """
+    if not by:
+        return top_by_value(df.withColumn("_whole", F.lit(0)), value, n, ["_whole"], ties, out).drop("_whole")
     by = list(by)
     score = F.coalesce(F.col(value).cast("double"), F.lit(-math.inf))
     scored = materialise(df.withColumn("_value", score), "values")
