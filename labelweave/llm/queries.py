@@ -125,9 +125,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
              FOR t IN regexp_extract_all(html, '(?is)<meta\b[^>]*>')
              IF regexp_matches(t, '(?is)http-equiv\s*=\s*["'']?refresh')])) AS b
         FROM pages),
+    plain AS (
+        SELECT url AS a, 'https://'
+               || regexp_replace(regexp_replace(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ':(80|443)?$', ''), '^www\.', '')
+               || regexp_replace(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/+$', '')
+               || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS b
+        FROM (SELECT url, array_to_string(list_filter(string_split(
+                         regexp_extract(regexp_replace(url, '(?s)#.*$', ''), '(?s)^[^?]*\?(.*)$', 1), '&'),
+                         lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|gclid|fbclid)=')), '&') AS kept
+              FROM pages WHERE regexp_matches(url, '(?i)^https?://'))),
     edges AS (
         SELECT DISTINCT regexp_replace(a, '(?s)#.*$', '') AS a, regexp_replace(b, '(?s)#.*$', '') AS b
-        FROM declared WHERE a IS NOT NULL AND contains(b, '://')),
+        FROM (SELECT * FROM declared UNION ALL SELECT * FROM plain) WHERE a IS NOT NULL AND contains(b, '://')),
     sym AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
     reach AS (SELECT a AS node, a AS other FROM sym UNION SELECT r.node, s.b FROM reach r JOIN sym s ON r.other = s.a),
     addresses AS (

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from labelweave.llm.steps import text_of
 
 SPACE = "▁"
-CACHED_WORDS = 400_000
+CACHED_BYTES = 48 << 20  # bound of what the words a worker keeps take up
+WORD_BYTES = 180  # of a kept word besides its characters and ids
+LONG_CHARS = 64  # a longer word, text without spaces mostly, is not kept
 WORDS = re.compile(r" *[^ ]+| +$")
 GROUP_CHARS = 1 << 21
 
@@ -114,6 +116,11 @@ class PieceEncoder:
             and self.model.is_byte(self.newline)
             and not any("\n" in p or SPACE in p.lstrip(SPACE) for p in plain)
         )
+        self.held = 0
+        self.surface = [
+            b"" if s else bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode()
+            for i, (p, s) in enumerate(zip(pieces, special))
+        ]
         self.known: dict[str, bytes] = {"\n": np.array([self.newline], "<u2").tobytes()}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -130,10 +137,15 @@ class PieceEncoder:
             broken = self.model.encode(["\n" + w for w in bare], num_threads=1) if bare else []
             learnt |= {w: ids[2:] for w, ids in zip(bare, broken)}
             fresh = {w: np.array(ids, "<u2").tobytes() for w, ids in learnt.items()}
-            if len(known) + len(fresh) > CACHED_WORDS:
-                known.clear()
-                known["\n"] = np.array([self.newline], "<u2").tobytes()
-            known |= fresh
+            for w, ids in fresh.items():
+                if len(w) > LONG_CHARS:
+                    continue
+                if self.held > CACHED_BYTES:
+                    known.clear()
+                    known["\n"] = np.array([self.newline], "<u2").tobytes()
+                    self.held = 0
+                known[w] = ids
+                self.held += WORD_BYTES + 4 * len(w) + len(ids)
             found = [
                 [fresh[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids
                 for words, ids in zip(split, found)
@@ -156,6 +168,15 @@ class PieceEncoder:
             out += WORDS.findall(line)
         return out
 
+    def agree(self, text: str, ids: np.ndarray) -> bool:
+        """Whether every piece reads like the normalised bytes of its span (an unknown character has none to compare)."""
+        normal, _ = self.map.normalise(text)
+        normal = normal.replace(SPACE.encode(), b" ")  # the model reads both alike
+        if self.rules.remove_extra_whitespaces:
+            normal = b" ".join(x for x in normal.split(b" ") if x)
+        first = b" " if self.rules.add_dummy_prefix and normal else b""
+        return b"".join(map(self.surface.__getitem__, ids.tolist())) == first + normal
+
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(begin, end) of each piece in the bytes of ``text``.
 
@@ -240,10 +261,11 @@ def digests(docs: DataFrame, model: str, end_id: int = 2) -> DataFrame:
     """What ``encode`` and ``decode`` give for each row, as counts and digests.
 
     spanned_bytes is the number of source bytes that the spans of its pieces
-    cover; it is n_bytes when nothing is lost. Ids and texts stay in the task.
+    cover; it is n_bytes when nothing is lost. spans_agree says whether all pieces
+    read like the bytes their spans project to. Ids and texts stay in the task.
     """
     schema = (
-        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spanned_bytes long, n_bytes long"
+        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spanned_bytes long, n_bytes long, spans_agree boolean"
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,7 +279,7 @@ def digests(docs: DataFrame, model: str, end_id: int = 2) -> DataFrame:
                 written = hashlib.sha256(b" ".join(map(decimal.__getitem__, ids))).hexdigest()
                 back = hashlib.sha256(decode_ids(ids).encode("utf-8")).hexdigest()
                 n_bytes = len(text) if text.isascii() else len(text.encode("utf-8"))
-                out.append((doc_id, len(ids), written, back, int((end - begin).sum()), n_bytes))
+                out.append((doc_id, len(ids), written, back, int((end - begin).sum()), n_bytes, coder.agree(text, found)))
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame

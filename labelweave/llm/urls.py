@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelweave.llm.components import connected_components
-from labelweave.llm.steps import saved
+from labelweave.llm.steps import join_sized, saved
 
 BLOCK, ALLOW = "block", "allow"
 
@@ -45,6 +45,7 @@ RULES = (
 HOST = r"(?s)^.*?://([^/?#]*)"
 PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
 LINK = r"(?is)<link\b[^>]*>"
+TRACKING = r"^(utm_[a-z]+|ref|gclid|fbclid)="
 META = r"(?is)<meta\b[^>]*>"
 
 
@@ -59,13 +60,25 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, PATH, 1), F.lit(""))
 
 
-def best_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
-    """Text of the longest rule that fits, or null; of equally long ones the first in order of text."""
-    found = F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: (len(r.text), [-ord(c) for c in r.text])):
-        fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
-        found = F.when(fits, F.lit(r.text)).otherwise(found)
-    return found
+def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    """(rule_host, rule_path, rule, decides): a block list as a table, of any length."""
+    return spark.createDataFrame([(r.host, r.path, r.text, r.verdict) for r in rules], "rule_host string, rule_path string, rule string, decides string")
+
+
+def fitting(addresses: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, rule, decides) of the distinct (host, path) of ``addresses`` that a rule fits.
+
+    Every host is joined by its suffixes, so the work does not grow with the
+    number of rules; of the rules whose path begins the address's path the
+    longest decides, of equally long ones the first in order of text.
+    """
+    rows = addresses.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    spread = rows.withColumn("rule_host", F.explode(F.array_distinct(suffixes)))
+    fits = join_sized(spread, rules, "rule_host").filter(F.col("path").startswith(F.col("rule_path")))
+    best = F.min(F.struct(-F.length("rule"), "rule", "decides")).alias("best")
+    return fits.groupBy("host", "path").agg(best).select("host", "path", "best.rule", "best.decides")
 
 
 def node_of(url: Column) -> Column:
@@ -96,34 +109,50 @@ def declared_links(pages: DataFrame) -> DataFrame:
     return both.select(node_of(F.col("url")).alias("a"), node_of(F.col("to")).alias("b"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFrame | None = None) -> DataFrame:
+def plain_address(url: Column) -> Column:
+    """The address that variants of an http URL share; null for anything else.
+
+    Written alike: https, the host lowered and without ``www.`` and default
+    ports, no slashes at the end of the path, no tracking parameters, no part
+    behind ``#``. Other parameters stay in their order.
+    """
+    host = F.regexp_replace(F.regexp_replace(host_of(url), ":(80|443)?$", ""), r"^www\.", "")
+    path = F.regexp_replace(path_of(url), "/+$", "")
+    query = F.regexp_extract(node_of(url), r"(?s)^[^?]*\?(.*)$", 1)
+    kept = F.array_join(F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.rlike(TRACKING)), "&")
+    plain = F.concat(F.lit("https://"), host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
+    return F.when(url.rlike("(?i)^https?://"), plain)
+
+
+def variant_links(pages: DataFrame) -> DataFrame:
+    """(a, b): the addresses of pages and the plain address their variants share."""
+    links = pages.select(node_of(F.col("url")).alias("a"), plain_address(F.col("url")).alias("b"))
+    return links.filter("b is not null and a <> b").distinct()
+
+
+def judge(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES, redirects: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, alias_of) for every row of ``pages``.
 
-    ``redirects`` may add pairs (a, b) of URLs to the links pages declare. A
-    page's own longest rule decides. Without one, the page is blocked if its
+    Links are those that pages declare, and those from every http address to the
+    plain one its variants share; ``redirects`` may add pairs (a, b) of URLs.
+    ``rules`` may also be a table as ``rule_table`` makes it. A page's own longest rule decides. Without one, the page is blocked if its
     component holds an address that a rule blocks, and allowed otherwise; an
     allow rule is never overridden, and says nothing about other addresses.
     alias_of is the least address of the component, null where there are no
     links. Null URLs and URLs without ``://`` have an empty host and path.
-    Repeated rows repeat; other columns are ignored.
+    Repeated rows repeat; other columns are ignored; an empty table gives no rows.
     """
-    edges = declared_links(pages)
+    edges = declared_links(pages).unionByName(variant_links(pages))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b")))
+    listed = rules if isinstance(rules, DataFrame) else rule_table(pages.sparkSession, rules)
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = rows.withColumn("rule", best_rule(F.col("host"), F.col("path"), rules))
-    verdicts = F.create_map(*[F.lit(x) for r in rules for x in (r.text, r.verdict)]) if rules else None
-    own = F.lit(None).cast("string") if verdicts is None else F.get(F.array(verdicts[F.col("rule")]), 0)
-    rows = rows.withColumn("own", F.when(F.col("rule").isNotNull(), own))
-    joined = connected_components(saved(edges, "url-edges"))
-    if not joined.head(1):
-        alias, inherited = F.lit(None).cast("string"), F.lit(ALLOW)
-        return rows.select("page_id", "host", "path", "rule", F.coalesce("own", inherited).alias("verdict"), alias.alias("alias_of"))
-    # Verdicts of all addresses that take part in links, pages or not.
-    nodes = joined.withColumn("fit", best_rule(host_of(F.col("node")), path_of(F.col("node")), rules))
-    blocks = [r.text for r in rules if r.verdict == BLOCK]
-    bad = nodes.filter(F.col("fit").isin(blocks)).select("component").distinct().withColumn("bad", F.lit(True))
-    known = saved(joined.join(bad, "component", "left"), "url-aliases")
-    found = rows.withColumn("node", node_of(F.col("url"))).join(known, "node", "left")
-    verdict = F.coalesce("own", F.when(F.col("bad"), BLOCK).otherwise(ALLOW))
-    return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("component").alias("alias_of"))
+    joined = saved(connected_components(saved(edges, "url-edges")), "url-components")
+    # Addresses that take part in links, pages or not, and pages that do not.
+    nodes = joined.select("node", "component", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"))
+    found = saved(fitting(rows.select("host", "path").union(nodes.select("host", "path")), listed), "url-rules")
+    bad = nodes.join(found.filter(F.col("decides") == BLOCK), ["host", "path"]).select("component").distinct()
+    known = joined.join(bad.withColumn("bad", F.lit(True)), "component", "left")
+    out = rows.join(found, ["host", "path"], "left").withColumn("node", node_of(F.col("url"))).join(known, "node", "left")
+    verdict = F.coalesce("decides", F.when(F.col("bad"), BLOCK).otherwise(ALLOW))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("component").alias("alias_of"))

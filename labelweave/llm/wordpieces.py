@@ -1,20 +1,26 @@
 """Ids of a lower-casing, white-space-dropping word BPE, encoded word by word.
 
-Its normaliser and splitter never look across white space, so the ids of a text
-are those of its words in a row. Words repeat: a batch of texts is encoded by
-its distinct words, and each task keeps the words it has met.
+Where the file says that its normaliser lower-cases and its splitter never keeps
+white space, the ids of a text are those of its words in a row; texts of any
+other tokenizer are encoded whole. Words repeat: a batch of texts is encoded by
+its distinct words, and each task keeps the words it has met, up to a number of
+bytes. Words too long to come again (text without spaces) are not kept.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
-CACHED_WORDS = 400_000  # bound of the words a task keeps
+CACHED_BYTES = 48 << 20  # bound of what the words a task keeps take up
+WORD_BYTES = 180  # of a kept word besides its characters and ids
+LONG_CHARS = 64  # a longer word is not kept
 BATCH_BYTES = 1 << 22
 MARK = "\x01"  # stands between new words; its bytes form an id of their own
 STOPS = ".,"
@@ -31,6 +37,9 @@ class WordEncoder:
         self.mark = self.model.encode(MARK, add_special_tokens=False).ids[0]
         self.stops = {s: self.plain(s) for s in STOPS}
         self.words: dict[str, bytes] = {}
+        self.held = 0
+        with open(path, encoding="utf-8") as file:
+            self.wordwise = _is_wordwise(json.load(file))
 
     @classmethod
     def shared(cls, path: str) -> WordEncoder:
@@ -41,7 +50,7 @@ class WordEncoder:
 
     def forget(self) -> None:
         """Give back the words and buffers, as the worker process goes on with other work."""
-        self.words = {}
+        self.words, self.held = {}, 0
         pa.default_memory_pool().release_unused()
 
     def plain(self, text: str) -> bytes:
@@ -55,6 +64,9 @@ class WordEncoder:
         whole by the library.
         """
         texts = texts.cast(pa.large_string())
+        if not self.wordwise:
+            yield from map(self.plain, texts.to_pylist())
+            return
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         begin = 0
         while begin < len(texts):
@@ -82,25 +94,49 @@ class WordEncoder:
         new = [w for w, ids in zip(words, found) if ids is None]
         if not new:
             return found
-        if len(self.words) + 2 * len(new) > CACHED_WORDS:
-            self.words = {w: ids for w, ids in zip(words, found) if ids is not None}
         # A full stop or comma behind a letter and before a space is split off by the model too.
         stopped = {w for w in new if w[-1:] in self.stops and w[-2:-1].isascii() and w[-2:-1].isalpha()}
         bare = {w[:-1] if w in stopped else w for w in new}
-        self._learn([w for w in bare if w not in self.words])
-        for w in stopped:
-            self.words[w] = self.words[w[:-1]] + self.stops[w[-1]]
-        return [self.words[w] if ids is None else ids for w, ids in zip(words, found)]
-
-    def _learn(self, new: list[str]) -> None:
+        learnt = {w: self.words[w] for w in bare if w in self.words}
+        learnt |= self._learn([w for w in bare if w not in learnt])
+        learnt |= {w: learnt[w[:-1]] + self.stops[w[-1]] for w in stopped}
+        out = [learnt[w] if ids is None else ids for w, ids in zip(words, found)]
+        for w, ids in learnt.items():
+            if len(w) <= LONG_CHARS and w not in self.words:
+                if self.held > CACHED_BYTES:
+                    self.words, self.held = {}, 0
+                self.words[w] = ids
+                self.held += WORD_BYTES + 4 * len(w) + len(ids)
+        return out
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
         if not new:
-            return
+            return {}
         text = f" {MARK} ".join(new)
         ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = np.flatnonzero(ids == self.mark)
         if len(cuts) != len(new) - 1:
             raise ValueError("a word gave the id of the mark")
-        raw, begin = ids.tobytes(), 0
+        raw, begin, out = ids.tobytes(), 0, {}
         for word, cut in zip(new, [*cuts.tolist(), len(ids)]):
-            self.words[word] = raw[4 * begin : 4 * cut]
+            out[word] = raw[4 * begin : 4 * cut]
             begin = cut + 1
+        return out
+
+
+def _is_wordwise(spec: dict) -> bool:
+    """Whether ids of words can be joined: letters are lowered, runs of white space are one, and pieces keep none of it."""
+    steps = spec["normalizer"] or {}
+    steps = steps.get("normalizers", [steps])
+    spaces = [s for s in steps if s.get("type") == "Replace"]
+    cutters = spec["pre_tokenizer"] or {}
+    first = cutters.get("pretokenizers", [cutters])[0]
+    pattern = first.get("pattern", {}).get("Regex", r"\s")
+    return (
+        {s.get("type") for s in steps} <= {"NFC", "Replace", "Lowercase"}
+        and any(s.get("type") == "Lowercase" for s in steps)
+        and all(s["pattern"] == {"Regex": r"\s+"} and s["content"] == " " for s in spaces)
+        and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
+        and regex.search(pattern, " \t\n") is None
+        and spec["model"]["type"] == "BPE"
+    )

@@ -53,3 +53,12 @@ def test_long_conversations_are_hashed_and_rendered_in_parts(spark):
 
 def test_an_empty_log(spark):
     assert chats.render(log(spark, [])).count() == 0
+
+
+def test_tied_turns_are_in_the_order_of_role_and_text(spark):
+    rows = [(1, 1, "user", t) for t in "fbdaec"] + [(1, 1, "bot", "z"), (1, None, "user", "y")]
+    rows += [(2, 1, "user", t) for t in "abcdefgh"]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chats.ordered_turns(turns).orderBy("conv_id", "place").collect()
+    assert [(r["role"], r["text"]) for r in found if r["conv_id"] == 1] == [("user", "y"), ("bot", "z"), *[("user", t) for t in "abcdef"]]
+    assert [r["text"] for r in found if r["conv_id"] == 2] == list("abcdefgh")

@@ -82,3 +82,39 @@ def test_many_of_one_length_have_little_padding(spark):
     found = packing.pack_documents(docs, PATH, size=64).collect()
     used = sum(r.length for r in found)
     assert used / (64 * (1 + max(r.sequence_id for r in found))) > 0.9
+
+
+def unspaced(n, chars=3000):
+    rng = random.Random(n)
+    return ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(chars)) for _ in range(n)]
+
+
+def test_cache_is_bounded_by_bytes(monkeypatch):
+    from labelweave.llm import wordpieces
+
+    texts = unspaced(300)
+    coder = WordEncoder(PATH)
+    for text, raw in zip(texts, coder.encode(pa.array(texts))):
+        assert np.frombuffer(raw, "<u4").tolist() == ids(text)
+    assert coder.held < 100_000 and sum(map(len, coder.words)) < 100_000
+    monkeypatch.setattr(wordpieces, "CACHED_BYTES", 20_000)
+    some = [" ".join(f"w{k}x{j}" for j in range(200)) for k in range(20)]
+    for text, raw in zip(some, coder.encode(pa.array(some))):
+        assert np.frombuffer(raw, "<u4").tolist() == ids(text)
+    for text, raw in zip(some, coder.encode(pa.array(some))):
+        assert np.frombuffer(raw, "<u4").tolist() == ids(text)
+        assert coder.held <= 20_000 + 1000
+
+
+def test_tokenizers_that_keep_case_or_space_are_read_whole(tmp_path):
+    import json
+
+    spec = json.load(open(PATH, encoding="utf-8"))
+    assert WordEncoder(PATH).wordwise
+    spec["normalizer"]["normalizers"] = [n for n in spec["normalizer"]["normalizers"] if n["type"] != "Lowercase"]
+    other = tmp_path / "cased.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    coder, library = WordEncoder(str(other)), Tokenizer.from_file(str(other))
+    assert not coder.wordwise
+    for text, raw in zip(ODD, coder.encode(pa.array(ODD))):
+        assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids

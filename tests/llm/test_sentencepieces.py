@@ -42,10 +42,34 @@ def test_digests_equal_the_library(spark):
         expected.append((row["doc_id"], len(ids), digest(" ".join(map(str, ids))), digest(library.decode(ids))))
     found = sp.digests(docs, PATH).collect()
     assert sorted(map(str, expected)) == sorted(str(tuple(r)[:4]) for r in found)
-    assert all(r.spanned_bytes == r.n_bytes for r in found)
+    assert all(r.spanned_bytes == r.n_bytes and r.spans_agree for r in found)
     assert sp.digests(empty(spark), PATH).count() == 0
 
 
+def test_pieces_read_like_their_spans():
+    coder = sp.encoder(PATH)
+    for text, ids in zip(ODD, coder.ids(ODD)):
+        assert coder.agree(text, ids), text
+        if len(ids) > 2:
+            assert not coder.agree(text, ids[:-1])
+
+
+def test_cache_is_bounded_by_bytes(monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    texts = ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(3000)) for _ in range(200)]
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    coder = sp.PieceEncoder(PATH)
+    assert [i.tolist() for i in coder.ids(texts)] == [library.encode(t) for t in texts]
+    assert coder.held < 10_000
+    monkeypatch.setattr(sp, "CACHED_BYTES", 20_000)
+    some = [" ".join(f"w{k}x{j}" for j in range(200)) for k in range(20)]
+    for text in some + some:
+        assert coder.ids([text])[0].tolist() == library.encode(text)
+        assert coder.held <= 20_000 + 1000
+
+
 def test_encode_then_decode(spark):
     docs = awkward(spark).filter("doc_id is not null").dropDuplicates(["doc_id"])
     back = {r.doc_id: r.text for r in sp.decode(sp.encode(docs, PATH), PATH).collect()}
