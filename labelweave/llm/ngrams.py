@@ -40,20 +40,20 @@ def with_text_key(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_key1": F.xxhash64(text), "_key2": F.xxhash64(F.lit(1), text)})
 
 
-def grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def grams(texts: pa.Array, group: int = GROUP_UNITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, n-gram) of every character of lower-cased texts, some at a time; texts begin after white space."""
     blank = np.full(ORDER - 1, ord(" "), "<u2")
     held, rows, size = [], [], 0
     for row, text in enumerate(texts):
         units = np.frombuffer((text.as_py() or "").lower().encode("utf-16-le", "surrogatepass"), "<u2")
         before = blank
-        for at in range(0, len(units), GROUP_UNITS):
-            part = units[at : at + GROUP_UNITS]
+        for at in range(0, len(units), group):
+            part = units[at : at + group]
             held += [before, part]
             rows.append((row, len(part)))
-            before = part[len(part) - (ORDER - 1) :] if len(part) >= ORDER - 1 else blank
+            before = np.concatenate([before, part])[-(ORDER - 1) :]
             size += len(part)
-            if size >= GROUP_UNITS:
+            if size >= group:
                 yield _codes(held, rows)
                 held, rows, size = [], [], 0
     if rows:
@@ -107,11 +107,13 @@ def counts(docs: DataFrame, group: Column) -> DataFrame:
     are left out, null texts count as empty.
     """
 
+    size = GROUP_UNITS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Sums()
         for batch in batches:
             model = batch.column("model").to_numpy(zero_copy_only=False)
-            for row, code in grams(batch.column("text")):
+            for row, code in grams(batch.column("text"), size):
                 of = model[row]
                 for m in np.unique(of):
                     found, n = np.unique(code[of == m], return_counts=True)
@@ -241,14 +243,14 @@ def log_likelihoods(docs: DataFrame, model: Model, number: Column, keep: Sequenc
     text and model share what is looked up.
     """
     head = docs.sparkSession.sparkContext.broadcast(model.head)
-    names = [*keep, *TEXT_KEY, "model"]
+    names, size = [*keep, *TEXT_KEY, "model"], GROUP_UNITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             models = batch.column(batch.schema.get_field_index("model")).to_numpy(zero_copy_only=False)
             length, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             rest_row, rest_code, rest_n = [], [], []
-            for row, code in grams(batch.column(batch.num_columns - 1)):
+            for row, code in grams(batch.column(batch.num_columns - 1), size):
                 begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
                 length[row[begin]] += np.diff(np.r_[begin, len(row)])
                 found, place = np.unique(code, return_inverse=True)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from labelweave.llm.steps import text_of
 
 SPACE = "▁"
-CACHED_BYTES = 48 << 20  # bound of what the words a worker keeps take up
+CACHED_BYTES = 96 << 20  # bound of what the words a worker keeps take up
 WORD_BYTES = 180  # of a kept word besides its characters and ids
 LONG_CHARS = 64  # a longer word, text without spaces mostly, is not kept
 WORDS = re.compile(r" *[^ ]+| +$")

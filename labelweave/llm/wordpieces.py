@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-CACHED_BYTES = 48 << 20  # bound of what the words a task keeps take up
+CACHED_BYTES = 96 << 20  # bound of what the words a task keeps take up
 WORD_BYTES = 180  # of a kept word besides its characters and ids
 LONG_CHARS = 64  # a longer word is not kept
 BATCH_BYTES = 1 << 22
@@ -97,16 +97,17 @@ class WordEncoder:
         # A full stop or comma behind a letter and before a space is split off by the model too.
         stopped = {w for w in new if w[-1:] in self.stops and w[-2:-1].isascii() and w[-2:-1].isalpha()}
         bare = {w[:-1] if w in stopped else w for w in new}
-        learnt = {w: self.words[w] for w in bare if w in self.words}
-        learnt |= self._learn([w for w in bare if w not in learnt])
-        learnt |= {w: learnt[w[:-1]] + self.stops[w[-1]] for w in stopped}
+        learnt = self._learn([w for w in bare if w not in self.words])
+        for w in stopped:
+            learnt[w] = (learnt.get(w[:-1]) or self.words[w[:-1]]) + self.stops[w[-1]]
         out = [learnt[w] if ids is None else ids for w, ids in zip(words, found)]
-        for w, ids in learnt.items():
-            if len(w) <= LONG_CHARS and w not in self.words:
-                if self.held > CACHED_BYTES:
-                    self.words, self.held = {}, 0
-                self.words[w] = ids
-                self.held += WORD_BYTES + 4 * len(w) + len(ids)
+        kept = {w: ids for w, ids in learnt.items() if len(w) <= LONG_CHARS}
+        more = WORD_BYTES * len(kept) + sum(map(len, kept.values())) + 4 * sum(map(len, kept))
+        if self.held + more > CACHED_BYTES:
+            self.words, self.held = {}, 0
+        if more <= CACHED_BYTES:
+            self.words |= kept
+            self.held += more
         return out
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
