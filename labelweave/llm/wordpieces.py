@@ -9,6 +9,7 @@ bytes. Words too long to come again (text without spaces) are not kept.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 from collections.abc import Iterable
@@ -18,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-CACHED_BYTES = 96 << 20  # bound of what the words a task keeps take up
+CACHED_BYTES = 80 << 20  # bound of what the words a task keeps take up
 WORD_BYTES = 180  # of a kept word besides its characters and ids
 LONG_CHARS = 64  # a longer word is not kept
 BATCH_BYTES = 1 << 22
@@ -52,6 +53,7 @@ class WordEncoder:
         """Give back the words and buffers, as the worker process goes on with other work."""
         self.words, self.held = {}, 0
         pa.default_memory_pool().release_unused()
+        give_back()
 
     def plain(self, text: str) -> bytes:
         ids = self.model.encode(text, add_special_tokens=False).ids
@@ -104,6 +106,9 @@ class WordEncoder:
         kept = {w: ids for w, ids in learnt.items() if len(w) <= LONG_CHARS}
         more = WORD_BYTES * len(kept) + sum(map(len, kept.values())) + 4 * sum(map(len, kept))
         if self.held + more > CACHED_BYTES:
+            # What these texts hold is likely to come again.
+            kept |= {w: ids for w, ids in zip(words, found) if ids is not None}
+            more = WORD_BYTES * len(kept) + sum(map(len, kept.values())) + 4 * sum(map(len, kept))
             self.words, self.held = {}, 0
         if more <= CACHED_BYTES:
             self.words |= kept
@@ -125,6 +130,14 @@ class WordEncoder:
         return out
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where its C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def _is_wordwise(spec: dict) -> bool:
     """Whether ids of words can be joined: letters are lowered, runs of white space are one, and pieces keep none of it."""
     steps = spec["normalizer"] or {}
