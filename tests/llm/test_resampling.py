@@ -77,8 +77,9 @@ def test_ranks_over_many_ranges(spark, monkeypatch):
 
 
 def test_head_and_pairs_are_bounded_and_exact(spark):
-    head = resampling.head_of(corpus(spark), 2, 15)
-    assert 0 < len(head.words) <= 15 and 0 < len(head.pairs) <= 15
+    head = resampling.head_of(corpus(spark), 2, 500)
+    assert 0 < len(head.words) <= 500 and 0 < len(head.pairs) <= 500
+    assert len(resampling.head_of(corpus(spark), 2, 3).words) == 0
     words = head.words.to_pylist()
     for pair, state in zip(head.pairs.tolist(), head.pair_states.tolist()):
         assert state == zlib.crc32(words[pair // len(words)] + b" " + words[pair % len(words)])
