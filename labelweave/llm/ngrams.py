@@ -23,11 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelweave.llm.steps import saved, text_of
+from labelweave.llm.steps import saved, text_of, tidy
 
 ORDER = 4
 UNIT = 16  # bits of a character
-GROUP_UNITS = 1 << 20  # characters looked at together
+GROUP_UNITS = 1 << 19  # characters looked at together
 HEAD = 1 << 19  # most n-grams of each model that are broadcast
 HELD_GRAMS = 400_000  # counts that a task keeps to merge them
 UNSEEN = 2.0**-UNIT  # probability of a character before anything is known
@@ -126,7 +126,7 @@ def counts(docs: DataFrame, group: Column) -> DataFrame:
             yield held.batch()
 
     rows = docs.select(group.cast("int").alias("model"), F.col("text").cast("string").alias("text")).filter("model is not null")
-    return rows.mapInArrow(run, "model int, code long, n long").groupBy("model", "code").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tidy(run), "model int, code long, n long").groupBy("model", "code").agg(F.sum("n").alias("n"))
 
 
 def discounts(of: list[int]) -> list[float]:
@@ -279,7 +279,7 @@ def log_likelihoods(docs: DataFrame, model: Model, number: Column, keep: Sequenc
     rows = with_text_key(docs.withColumn("model", number.cast("int"))).select(*names, F.col("text").cast("string").alias("_text_"))
     item = T.StructType([T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
     extra = [T.StructField("length", T.LongType()), T.StructField("known", T.DoubleType()), T.StructField("rest", T.ArrayType(item))]
-    scored = saved(rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *extra])), "ngram-scores")
+    scored = saved(rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields[:-1], *extra])), "ngram-scores")
     # A text cut into groups can hold an n-gram in several of them.
     opened = scored.select(*TEXT_KEY, "model", F.posexplode("rest").alias("_at", "item")).select(*TEXT_KEY, "model", "_at", "item.*").distinct()
     looked = saved(_probabilities(opened.select("model", "code").distinct(), model), "ngram-looked-up")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from labelweave.llm import golay
 from labelweave.llm.components import connected_components
-from labelweave.llm.steps import saved, text_of
+from labelweave.llm.steps import saved, text_of, tidy
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, width
 HALVES = ((43, 11), (54, 10))  # of the third segment
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
     text = text_of("text")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    return source.mapInArrow(run, "doc_id long, text_hash long, fingerprint long")
+    return source.mapInArrow(tidy(run), "doc_id long, text_hash long, fingerprint long")
 
 
 def _segment(values: np.ndarray, at: tuple[int, int]) -> np.ndarray:

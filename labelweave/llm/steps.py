@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +37,22 @@ def crc32_of_id(column: str) -> Column:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder, so that nothing before it is run again."""
     return materialise(df, name)
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a partition, after which the worker process, kept for other tasks, gives its buffers back."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return wrapped

@@ -9,7 +9,6 @@ bytes. Words too long to come again (text without spaces) are not kept.
 
 from __future__ import annotations
 
-import ctypes
 import json
 import os
 from collections.abc import Iterable
@@ -19,10 +18,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from labelweave.llm.steps import give_back
+
 CACHED_BYTES = 80 << 20  # bound of what the words a task keeps take up
 WORD_BYTES = 180  # of a kept word besides its characters and ids
 LONG_CHARS = 64  # a longer word is not kept
 BATCH_BYTES = 1 << 22
+LEARNT_TOGETHER = 1 << 15  # new words that the library encodes at once
 MARK = "\x01"  # stands between new words; its bytes form an id of their own
 STOPS = ".,"
 
@@ -52,7 +54,6 @@ class WordEncoder:
     def forget(self) -> None:
         """Give back the words and buffers, as the worker process goes on with other work."""
         self.words, self.held = {}, 0
-        pa.default_memory_pool().release_unused()
         give_back()
 
     def plain(self, text: str) -> bytes:
@@ -75,6 +76,7 @@ class WordEncoder:
             end = int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + BATCH_BYTES)) + 1
             yield from self._encode_group(texts[begin:end])
             begin = end
+        give_back()
 
     def _encode_group(self, texts: pa.Array) -> Iterable[bytes]:
         odd = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring(texts, MARK))
@@ -116,8 +118,12 @@ class WordEncoder:
         return out
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        if not new:
-            return {}
+        out: dict[str, bytes] = {}
+        for begin in range(0, len(new), LEARNT_TOGETHER):
+            out |= self._learn_some(new[begin : begin + LEARNT_TOGETHER])
+        return out
+
+    def _learn_some(self, new: list[str]) -> dict[str, bytes]:
         text = f" {MARK} ".join(new)
         ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = np.flatnonzero(ids == self.mark)
@@ -130,14 +136,6 @@ class WordEncoder:
         return out
 
 
-def give_back() -> None:
-    """Return freed memory to the system, where its C library can."""
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
-
-
 def _is_wordwise(spec: dict) -> bool:
     """Whether ids of words can be joined: letters are lowered, runs of white space are one, and pieces keep none of it."""
     steps = spec["normalizer"] or {}

@@ -107,6 +107,27 @@ def test_cache_is_bounded_by_bytes(monkeypatch):
         assert coder.held <= 20_000
 
 
+@pytest.mark.parametrize("together", [1, 3])
+def test_new_words_encoded_in_lots_give_the_same_ids(monkeypatch, together):
+    from labelweave.llm import wordpieces
+
+    monkeypatch.setattr(wordpieces, "LEARNT_TOGETHER", together)
+    texts = ODD + [sentence(k) + "." for k in range(20)]
+    for text, raw in zip(texts, WordEncoder(PATH).encode(pa.array(texts))):
+        assert np.frombuffer(raw, "<u4").tolist() == ids(text), text
+
+
+def test_tidy_passes_all_batches_and_then_gives_back(monkeypatch):
+    from labelweave.llm import steps
+
+    calls = []
+    monkeypatch.setattr(steps, "give_back", lambda: calls.append("given back"))
+    run = steps.tidy(lambda batches: (calls.append(b) or b for b in batches))
+    assert list(run(iter([1, 2]))) == [1, 2]
+    assert calls == [1, 2, "given back"]
+    assert list(run(iter([]))) == []
+
+
 def test_tokenizers_that_keep_case_or_space_are_read_whole(tmp_path):
     import json
 
