@@ -20,8 +20,11 @@ ODD = [
 ]
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+
+
 def ids(text):
-    return Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    return TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
 def test_words_one_by_one_give_the_ids_of_the_library():
