@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.functions.order import prefix_sums
-from labelweave.functions.vectors import distances, stack
+from labelweave.functions.vectors import distances, stack, within
 from labelweave.operators import grid
-from labelweave.operators.blocks import build_index, distinct_points, tiles
+from labelweave.operators.blocks import WIDE_BLOCK_ROWS, build_index, distinct_points, sides, tiles
 from labelweave.operators.forest import connected_components
 from labelweave.session import materialise
 
+PART_ROWS = 512  # of a block that meet the other one at once
+
 
 def _near(tile: pd.DataFrame, radius: float, p: int) -> tuple[np.ndarray, np.ndarray]:
     """(distance, near flag) for the pairs this tile is responsible for."""
@@ -58,15 +60,26 @@ def radius_counts(points: DataFrame, radius: float, p: int = 2) -> DataFrame:
     """(row_id, n_near): rows within the radius, the row itself included."""
     vectors = materialise(distinct_points(points), "vectors")
     d = grid.fits(vectors, radius)
-    counted = grid.radius_counts(vectors, radius, p, d) if d else _count_near(vectors, build_index(vectors, p), radius, p)
+    counted = grid.radius_counts(vectors, radius, p, d) if d else _count_near(vectors, build_index(vectors, p, most=WIDE_BLOCK_ROWS), radius, p)
     near = vectors.join(counted, "row_id").select("features", "n_near")
     return points.join(near, "features").select("row_id", "n_near")
 
 
 def _count_near(vectors: DataFrame, index, radius: float, p: int) -> DataFrame:
     def count(tile: pd.DataFrame) -> pd.DataFrame:
-        _, near = _near(tile, radius, p)
-        return pd.DataFrame({"row_id": tile["row_id"], "n": near @ tile["weight"].to_numpy()})
+        one, two = sides(tile)
+        rows = stack(one["features"])
+        if two is None:
+            n = np.concatenate([within(rows[at : at + PART_ROWS], rows, radius, p) @ one["weight"].to_numpy(float) for at in range(0, len(rows), PART_ROWS)])
+            return pd.DataFrame({"row_id": one["row_id"], "n": n.astype(np.int64)})
+        if not len(one) or not len(two):
+            return pd.DataFrame({"row_id": [], "n": []}).astype("int64")
+        others, n, back = stack(two["features"]), [], np.zeros(len(two))
+        for at in range(0, len(rows), PART_ROWS):
+            near = within(rows[at : at + PART_ROWS], others, radius, p).astype(float)
+            n.append(near @ two["weight"].to_numpy(float))
+            back += one["weight"].to_numpy(float)[at : at + PART_ROWS] @ near
+        return pd.DataFrame({"row_id": np.concatenate([one["row_id"], two["row_id"]]), "n": np.concatenate([*n, back]).astype(np.int64)})
 
     spread = tiles(vectors, index, radius)
     partial = spread.groupBy("low", "high").applyInPandas(count, "row_id bigint, n bigint")
