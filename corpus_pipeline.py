@@ -22,7 +22,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity score that rejects; empty texts are scored too."""
-    return toxicity.kept(docs.select(*COLUMNS), _labels(spark, sf_dir))
+    return toxicity.kept(docs.select(*COLUMNS), _labels(spark, sf_dir), teach=toxicity.kneser_ney_ratios)
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
