@@ -147,3 +147,22 @@ def test_highest_values_of_every_group(spark, monkeypatch, room):
     assert order.top_by_value(df.limit(0), "x", 3, ["g"], ["row_id"]).count() == 0
     whole = order.top_by_value(df.filter("x is not null"), "x", 5, [], ["row_id"]).orderBy("rank").collect()
     assert [r["row_id"] for r in whole] == [k for _, k in sorted((-x, k) for k, _, x in rows if x is not None)[:5]]
+
+
+def test_subsample_keys_are_hashed_in_compiled_code(spark, capsys):
+    """One hash of an exploded row, not a list of hashes for each row; a null id hashes as before."""
+    df = spark.range(500).select(F.when(F.col("id") > 0, F.col("id")).alias("row_id"))
+    got = splitting.repeated_subsamples(df, [(1, 20, 1), (1, 490, 2)], 4)
+    for size, repeat in ((20, 1), (490, 2)):
+        start = f"4:1:{size}:{repeat}"
+        ids = sorted(range(500), key=lambda i: md5(start, i) if i else hashlib.md5(start.encode()).hexdigest())[:size]
+        found = {r["row_id"]: r["ord"] for r in got.filter(F.col("repeat") == repeat).collect()}
+        assert found == {i or None: place for place, i in enumerate(ids)}
+    plans = []
+    whole = splitting.materialise
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(splitting, "materialise", lambda rows, name: plans.append(rows) or whole(rows, name))
+        splitting.repeated_subsamples(df, [(1, 20, 1)], 4)
+    plans[0].explain()
+    plan = capsys.readouterr().out
+    assert "md5" in plan and "transform(" not in plan and "lambdafunction" not in plan
