@@ -24,7 +24,7 @@ CACHED_BYTES = 80 << 20  # bound of what the words a task keeps take up
 WORD_BYTES = 180  # of a kept word besides its characters and ids
 LONG_CHARS = 64  # a longer word is not kept
 BATCH_BYTES = 1 << 22
-LEARNT_TOGETHER = 1 << 15  # new words that the library encodes at once
+LEARNT_TOGETHER = 1 << 13  # new words that the library encodes at once
 MARK = "\x01"  # stands between new words; its bytes form an id of their own
 STOPS = ".,"
 
