@@ -85,6 +85,26 @@ def test_edges_across_two_blocks_span_what_they_join():
         assert sorted(cost.tolist()) == wanted
 
 
+@pytest.mark.parametrize("rank", [1, 3])
+@pytest.mark.parametrize("radius", [1.2, 10.0])
+def test_trees_by_products_are_those_of_exact_distances(rank, radius):
+    x = rows_of(7, 500, 64)
+    exact = vectors.distances(x, x, 2)
+    core = np.sort(exact, axis=1)[:, rank]
+    left, right, near, far = x[:280], x[280:], core[:280], core[280:]
+    reach = np.maximum(np.maximum(exact[:280, 280:], near[:, None]), far)
+    reach[reach > radius] = np.inf
+    found = density._prim_near(left, right, near, far, *vectors.rough_squares(left, right), radius)
+    for got, wanted in zip(found, density._prim_across(reach)):
+        assert got.tolist() == wanted.tolist()
+
+
+def test_blocks_of_tied_rows_are_left_to_exact_distances():
+    x = np.random.default_rng(8).integers(0, 3, (200, 9)) / 7
+    none = np.zeros(100)
+    assert density._prim_near(x[:100], x[100:], none, none, *vectors.rough_squares(x[:100], x[100:]), 10.0) is None
+
+
 def test_a_table_of_one_file_is_searched_by_all_cores(spark):
     df = frame(spark, rows_of(5, 3500, 4)).coalesce(1)
     found = neighbours.nearest(df, df, 3)

@@ -200,6 +200,15 @@ def test_contraction_rounds_equal_one_task(spark):
     assert small == large
 
 
+def test_many_edges_of_few_vertices_are_thinned_without_contraction(spark, monkeypatch):
+    edges = random_edges(spark, 30, 900, 5)
+    edges = edges.withColumn("w", F.col("w") + F.col("a") / 100 + F.col("b") / 10000).distinct()
+    one = sorted(map(tuple, forest.spanning_forest(edges).collect()))
+    monkeypatch.setattr(forest, "_round", None)
+    assert sorted(map(tuple, forest.spanning_forest(edges, task_edges=40).collect())) == one
+    assert len(one) == 2 * 29
+
+
 def shape(tree):
     """Merge tree as the set of (weight, leaf names) of its nodes."""
     rows = tree.collect()
@@ -226,6 +235,22 @@ def test_halved_merge_tree_equals_one_task(spark):
     assert shape(merge_tree.merge_tree(edges, rows)) == shape(merge_tree.merge_tree(edges, rows, task_edges=6))
 
 
+def test_small_parts_of_a_halved_tree_share_tasks(spark, monkeypatch):
+    # 40 light pairs in a row: the light half is 40 components of one edge.
+    rows = [(0, i, i + 1, 1.0 + i / 1000 if i % 2 == 0 else 5.0 + i / 1000) for i in range(79)]
+    edges = spark.createDataFrame(rows, "g int, a bigint, b bigint, w double")
+    vertices = spark.range(80).selectExpr("0 AS g", "id AS row_id")
+    tasks, plain_way = [], merge_tree._solve
+
+    def counted(left, right):
+        tasks.append(right.select("g", "lot").distinct().count())
+        return left.groupBy("g", "lot").cogroup(right.groupBy("g", "lot")).applyInPandas(plain_way, merge_tree.TREE_SCHEMA)
+
+    monkeypatch.setattr(merge_tree, "_solved", counted)
+    assert shape(merge_tree.merge_tree(edges, vertices, task_edges=50)) == shape(merge_tree.merge_tree(edges, vertices))
+    assert sum(tasks) <= 8
+
+
 def test_silhouette_and_dispersion(spark, cloud):
     labels = (cloud[:, 0] > 1.0).astype(int) + 2 * (cloud[:, 1] > 1.5)
     df = spark.createDataFrame([(i, [float(v) for v in x], int(c)) for i, (x, c) in enumerate(zip(cloud, labels))], SCHEMA + ", cluster int")
